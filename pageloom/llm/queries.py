@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import language_id, packing, sharding, toxicity, url_filter
+from pageloom.llm import decontamination, language_id, licenses, packing, sharding, toxicity, url_filter
 from pageloom.llm.shared import held_out, table
 
 
@@ -37,3 +37,31 @@ def op7_sharding(spark: SparkSession, root: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, root: str) -> DataFrame:
     found = toxicity.toxicity(table(spark, root, "documents"), table(spark, root, "labels"), ~held_out(F.col("doc_id")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    found = licenses.license_scan(table(spark, root, "documents").select("doc_id", "text"))
+    n = F.size("places")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n.cast("long").alias("n_base"),
+        F.when(n > 0, F.array_min("places")).cast("long").alias("first_word"),
+        F.when(n > 0, F.array_max("places")).cast("long").alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
+def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
+    n_hit = F.size("covered").cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )

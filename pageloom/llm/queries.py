@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, language_id, licenses, packing, sharding, toxicity, url_filter
+from pageloom.llm import decontamination, language_id, licenses, packing, sharding, simhash, topk, toxicity, url_filter
 from pageloom.llm.shared import held_out, table
 
 
@@ -65,3 +65,12 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def op2_topk(spark: SparkSession, root: str) -> DataFrame:
+    rows = topk.quantised(table(spark, root, "embeddings").select("vec_id", "embedding"))
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_simhash(spark: SparkSession, root: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, root, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, language_id, licenses, packing, sharding, simhash, topk, toxicity, url_filter
+from pageloom.llm import decontamination, language_id, licenses, packing, sharding, simhash, substrings, topk, toxicity, url_filter
 from pageloom.llm.shared import held_out, table
 
 
@@ -74,3 +74,7 @@ def op2_topk(spark: SparkSession, root: str) -> DataFrame:
 
 def op8_simhash(spark: SparkSession, root: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, root, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, root, "documents"))

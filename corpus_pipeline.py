@@ -1,10 +1,68 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result as Parquet in the
+shared folder and rereads it as the next one's docs. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL: dict[str, str] | None = None
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.llm import decontamination, language_id, packing, simhash, substrings
+from pageloom.llm.queries import tokeniser_path
+from pageloom.llm.shared import held_out, shared_folder, table
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose two nearest languages are about equally near."""
+    found = language_id.language_id(docs, ~held_out(F.col("doc_id")))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents whose fingerprints are linked, the one with the smallest id."""
+    return simhash.one_each(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes words under 13-word windows that a document with a smaller id has as well."""
+    return _counted(substrings.without_repeats(docs)).select(*docs.columns)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes the words of benchmark items."""
+    return _counted(decontamination.without_hits(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as pieces of packed sequences."""
+    return packing.best_fit_packing(docs, tokeniser_path())
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("simhash_near_dedup", keep_one_of_each_group),
+    ("substring_dedup", cut_repeated_passages),
+    ("benchmark_decontamination", cut_benchmark_passages),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL cannot tokenise or train; tests/llm holds the pipeline against plain Python versions of the stages.
+ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, run_id = table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    for name, stage in STAGES:
+        path = f"{shared_folder(spark)}/pipeline-{run_id}-{name}"
+        result = stage(spark, docs, sf_dir)
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+    return docs

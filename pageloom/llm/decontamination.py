@@ -37,19 +37,23 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.groupBy("win", "m").agg(F.collect_set("item").alias("items"))
 
 
-def _marked(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
-    """docs with _w (words) and _hits: array of (pos, m, win) of every place where a benchmark window starts."""
-    rows = docs.withColumn("_w", words_of(F.col("text").cast("string")))
+def _hits(windows: DataFrame) -> str:
+    """SQL for the places in the words `w` where a window starts: an array of (pos, m, win)."""
     known = windows.select("win", "m").collect()
     found = []
     for m in sorted({r["m"] for r in known}):
         listed = ", ".join(f"'{r['win']}'" for r in known if r["m"] == m)  # words hold no quote and no backslash
         found.append(
-            f"if(size(_w) < {m}, array(), transform(filter(sequence(0, size(_w) - {m}), i -> array_join(slice(_w, i + 1, {m}), ' ') in ({listed})), "
-            f"i -> named_struct('pos', i, 'm', {m}, 'win', array_join(slice(_w, i + 1, {m}), ' '))))"
+            f"if(size(w) < {m}, array(), transform(filter(sequence(0, size(w) - {m}), i -> array_join(slice(w, i + 1, {m}), ' ') in ({listed})), "
+            f"i -> named_struct('pos', i, 'm', {m}, 'win', array_join(slice(w, i + 1, {m}), ' '))))"
         )
-    hits = f"concat({', '.join(found)})" if found else "cast(array() as array<struct<pos:int,m:int,win:string>>)"
-    return rows.withColumn("_hits", F.expr(hits))
+    return f"concat({', '.join(found)})" if found else "cast(array() as array<struct<pos:int,m:int,win:string>>)"
+
+
+def _once(value: str, name: str, body: str) -> str:
+    """SQL that evaluates value once and body with it: the optimizer may copy a column into every use, even into
+    a lambda that runs once a word, but not a lambda's own variable."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def fits_in_tasks(windows: DataFrame) -> bool:
@@ -72,14 +76,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     windows = benchmark_windows(benchmark, window)
     # rows that repeat all columns are told apart by this number; it does not outlive the grouping below
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    whole = F.struct("_row", F.expr("size(_w)").alias("n_words"), *[F.col(n) for n in names]).alias("_doc")
+    own, words = [F.col(n) for n in names], words_of(F.col("text").cast("string"))
     if fits_in_tasks(windows):
-        marked = _marked(rows, windows, window).select(whole, F.expr(_COVERED.format(hits="_hits")).alias("covered"), F.expr("array_distinct(_hits.win)").alias("wins"))
-        each = marked.select("_doc", "covered", F.explode_outer("wins").alias("win"))
+        body = _once(_hits(windows), "h", f"named_struct('n', size(w), 'covered', {_COVERED.format(hits='h')}, 'wins', array_distinct(h.win))")
+        marked = rows.withColumn("_w", words).withColumn("_m", F.expr(_once("_w", "w", body)))
+        each = marked.select(F.struct("_row", F.col("_m.n").alias("n_words"), *own).alias("_doc"), F.col("_m.covered").alias("covered"), F.explode_outer("_m.wins").alias("win"))
         joined = each.join(F.broadcast(windows.select("win", "items")), "win", "left")
         grouped = joined.groupBy("_doc._row").agg(F.first("_doc").alias("_doc"), F.first("covered").alias("covered"), F.flatten(F.collect_list("items")).alias("items"))
     else:
-        rows = rows.withColumn("_w", words_of(F.col("text").cast("string")))
+        rows = rows.withColumn("_w", words)
+        whole = F.struct("_row", F.size("_w").alias("n_words"), *own).alias("_doc")
         lengths = [r["m"] for r in windows.select("m").distinct().collect()]  # at most `window` numbers
         every = F.concat(*[F.expr(f"if(size(_w) < {m}, array(), transform(sequence(0, size(_w) - {m}), i -> named_struct('pos', i, 'm', {m}, 'win', array_join(slice(_w, i + 1, {m}), ' '))))") for m in sorted(lengths)])
         each = rows.select(whole, F.explode_outer(every).alias("_h")).select("_doc", F.col("_h.pos").alias("pos"), F.col("_h.m").alias("m"), F.col("_h.win").alias("win"))
@@ -101,15 +107,15 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     """
     names = [f"`{c}`" for c in docs.columns]
     windows = benchmark_windows(benchmark, window)
+    keep = "size(s.c) = 0 or size(s.c) < s.n"
     if fits_in_tasks(windows):
-        marked = _marked(docs, windows, window).withColumn("_c", F.expr(_COVERED.format(hits="_hits")))
+        found = _once("_w", "w", f"named_struct('n', size(w), 'c', {_once(_hits(windows), 'h', _COVERED.format(hits='h'))})")
+        kept = docs.withColumn("_w", words_of(F.col("text").cast("string"))).select(*names, F.explode(F.expr(f"filter(array({found}), s -> {keep})")).alias("_s"))
     else:
-        marked = contamination(docs, benchmark, window).withColumnRenamed("covered", "_c").withColumn("_w", words_of(F.col("text").cast("string")))
-    kept = marked.where("size(_c) = 0 or size(_c) < size(_w)")
+        judged = contamination(docs, benchmark, window).withColumn("_s", F.struct(F.col("n_words").alias("n"), F.col("covered").alias("c")))
+        kept = judged.select(*names, F.explode(F.expr(f"filter(array(_s), s -> {keep})")).alias("_s"))
     # 'a, b. c' is '' + (a ', ') (b '. ') (c ''): separator i stands before word i
-    parts = (
-        kept.withColumn("_raw", F.when(F.size("_c") > 0, F.array_remove(F.split(F.col("text"), _RAW_SEPARATORS), "")))
-        .withColumn("_sep", F.when(F.size("_c") > 0, F.split(F.col("text"), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
-    )
-    rest = "concat(_sep[0], array_join(transform(_raw, (x, i) -> if(array_contains(_c, i), '', concat(x, coalesce(get(_sep, i + 1), '')))), ''))"
-    return parts.withColumn("text", F.when(F.size("_c") > 0, F.expr(rest)).otherwise(F.col("text"))).select(*names)
+    parts = kept.withColumn("_raw", F.array_remove(F.split(F.col("text"), _RAW_SEPARATORS), "")).withColumn("_sep", F.split(F.col("text"), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    rest = "array_join(transform(_raw, (x, i) -> if(array_contains(c, i), '', concat(x, coalesce(get(sep, i + 1), '')))), '')"
+    rest = _once("_sep", "sep", _once("_s.c", "c", f"concat(sep[0], {rest})"))
+    return parts.withColumn("text", F.when(F.size("_s.c") > 0, F.expr(rest)).otherwise(F.col("text"))).select(*names)

@@ -46,3 +46,13 @@ def normalise(a: Column, eps: float = 0.0) -> Column:
 def round6(c: Column) -> Column:
     """Six decimals, never minus zero: engines add floats in different orders."""
     return F.round(c, 6) + F.lit(0.0)
+
+
+def quantise(x: Column, lo: Column, hi: Column, bits: int, eps: float = 1e-12) -> Column:
+    """Min-max scaled to the integer grid 0 .. 2**bits - 1."""
+    return F.floor((x - lo) / (hi - lo + F.lit(eps)) * ((1 << bits) - 1)).cast("long")
+
+
+def affine(x: Column, rows: list[list[float]]) -> Column:
+    """x . A for a constant matrix given by its columns."""
+    return F.array(*[inner_product(x, F.array(*[F.lit(float(c)) for c in column])) for column in rows])

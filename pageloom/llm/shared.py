@@ -26,9 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    narrow: rows are a few numbers, so a file takes the rows of several partitions.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(1, partitions(spark) // 8))
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -209,7 +209,7 @@ def _grouped(cols: np.ndarray) -> pa.RecordBatch:
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    return written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "simhash-min")
+    return written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "simhash-min", narrow=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,19 +218,19 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps until nothing changes. Minima are aggregated before they are shuffled, and
     a hub meets its minimum in a join that splits its rows, so no neighbourhood is gathered anywhere.
     """
-    edges = written(edges, "simhash-links")
-    before = None
+    edges = written(edges, "simhash-links", narrow=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "simhash-large")
+        large = written(large, "simhash-large", narrow=True)
         low = large.join(_smallest(large), "u")
         small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.where("u > v").distinct(), "simhash-small")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if now == before:
+        edges = written(small.where("u > v").distinct(), "simhash-small", narrow=True)
+        # steps keep what is connected, so they are done when every node has one link and no link's end has any
+        ends = edges.groupBy("u").agg(F.count("*").alias("n"))
+        more = edges.select(F.col("v").alias("u")).distinct().join(ends, "u", "left_semi").select(F.lit(2).cast("long").alias("n"))
+        if ends.select("n").unionByName(more).where("n > 1").isEmpty():
             return edges
-        before = now
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -242,10 +242,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives an empty result; other columns are ignored.
     """
     prints = written(fingerprints(docs), "simhash-prints")
-    nodes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    nodes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes", narrow=True)
     roots = components(links(nodes))
     # a document that several fingerprints share through a repeated id links them
-    named = written(nodes.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id")), "simhash-named")
+    named = written(nodes.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id")), "simhash-named", narrow=True)
     found = prints.join(named, "fp", "left")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

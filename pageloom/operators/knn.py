@@ -23,3 +23,31 @@ def exact(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2") -> Da
     order = Window.partitionBy("query_id").orderBy(F.round(F.lit(sign) * F.col(name), 9), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", name)
+
+
+def nearest(base: DataFrame, query: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(vec_id, value) of one query's k best vectors: each task keeps k rows, no shuffle of the table."""
+    fn, name, sign = METRICS[metric]
+    scored = base.crossJoin(F.broadcast(query)).select("vec_id", fn(F.col("q"), F.col("v")).alias(name))
+    return scored.orderBy(F.round(F.lit(sign) * F.col(name), 9), "vec_id").limit(k)
+
+
+def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+    """(query_id, hits, recall) of (query_id, vec_id) results against the truth; 1 where the truth is empty."""
+    rows = truth.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return rows.groupBy("query_id").agg(F.count("hit").alias("hits"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+def probed(queries: DataFrame, cells: DataFrame, centres: DataFrame, probes: int, k: int, metric: str = "l2") -> DataFrame:
+    """k nearest among the vectors of each query's `probes` nearest cells; cells is (vec_id, v, cid).
+
+    Written by cid, the cells' table is pruned to the cells that are probed.
+    """
+    fn, name, sign = METRICS[metric]
+    near = queries.crossJoin(F.broadcast(centres)).withColumn("_d", F.round(V.l2(F.col("q"), F.col("c")), 9))
+    order = Window.partitionBy("query_id").orderBy("_d", "cid")
+    chosen = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= probes).select("query_id", "q", "cid")
+    scored = cells.join(F.broadcast(chosen), "cid").select("query_id", "vec_id", fn(F.col("q"), F.col("v")).alias(name))
+    best = Window.partitionBy("query_id").orderBy(F.round(F.lit(sign) * F.col(name), 9), "vec_id")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", name)

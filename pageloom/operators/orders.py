@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
 from pageloom.operators import stats
+from pageloom.operators.ranking import ranked
 
 #: Keys are compared at nine decimals: the order then does not depend on how an engine adds floats.
 DECIMALS = 9
@@ -47,21 +48,9 @@ def by_clusters(assigned: DataFrame, clusters: DataFrame, score: str, key: Colum
     return ranks.join(F.broadcast(starts), "cid").select("vec_id", "cid", (F.col("start") + F.col("_rank")).cast("long").alias("pos"))
 
 
-def by_key(rows: DataFrame, key: Column, ranges: int = 256) -> DataFrame:
-    """(vec_id, key, pos): positions in the order of (key, vec_id), found range by range of the key."""
-    keyed = rows.select("vec_id", key.alias("key"))
-    parts = [i / ranges for i in range(1, ranges)]
-    cuts = keyed.agg(F.percentile_approx(F.col("key"), F.array(*[F.lit(p) for p in parts]), 10000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts])
-    # the number of boundaries below the key
-    part = F.size(F.filter(bounds, lambda b: b < F.col("key"))) if cuts else F.lit(0)
-    ranged = keyed.withColumn("_part", part)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))  # at most `ranges` rows
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("_part").orderBy("key", "vec_id")
-    return ranged.withColumn("_rank", F.row_number().over(inside) - 1).join(F.broadcast(starts), "_part").select("vec_id", "key", (F.col("start") + F.col("_rank")).cast("long").alias("pos"))
+def by_key(rows: DataFrame, key: Column) -> DataFrame:
+    """(vec_id, key, pos): positions in the order of (key, vec_id)."""
+    return ranked(rows.select("vec_id", key.alias("key")), "key", "vec_id", name="pos")
 
 
 def kmeans_order(base: DataFrame, centres: DataFrame) -> DataFrame:

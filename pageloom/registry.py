@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("knn", "vectors", "layouts", "workload", "predicates", "transforms")
+MODULES: tuple[str, ...] = ("knn", "vectors", "layouts", "workload", "predicates", "transforms", "streams")
 
 
 def _modules():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.shared import ASCII_LOWER, ASCII_UPPER
+from pageloom.llm.shared import ASCII_LOWER, ASCII_UPPER, written
 
 WINDOW = 10
 #: Up to so many different windows of bounded text the set goes to every task; beyond, windows are joined by a shuffle.
@@ -84,7 +84,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         joined = each.join(F.broadcast(windows.select("win", "items")), "win", "left")
         grouped = joined.groupBy("_doc._row").agg(F.first("_doc").alias("_doc"), F.first("covered").alias("covered"), F.flatten(F.collect_list("items")).alias("items"))
     else:
-        rows = rows.withColumn("_w", words)
+        # two branches follow, so the numbers are written: a second evaluation might deal them anew
+        rows = written(rows, "decontamination-rows").withColumn("_w", words)
         whole = F.struct("_row", F.size("_w").alias("n_words"), *own).alias("_doc")
         lengths = [r["m"] for r in windows.select("m").distinct().collect()]  # at most `window` numbers
         every = F.concat(*[F.expr(f"if(size(_w) < {m}, array(), transform(sequence(0, size(_w) - {m}), i -> named_struct('pos', i, 'm', {m}, 'win', array_join(slice(_w, i + 1, {m}), ' '))))") for m in sorted(lengths)])

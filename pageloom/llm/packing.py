@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.shared import released
+
 CAPACITY = 2048
 #: Documents that are packed together. A group leaves one or two sequences unfilled, of about a thousand.
 GROUP_DOCS = 4096
@@ -28,7 +30,7 @@ class WordTokeniser:
     its blank-separated chunks in order. Each different chunk of a batch is looked up once.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -126,6 +128,7 @@ def pieces(docs: DataFrame, tokeniser_path: str, capacity: int = CAPACITY, with_
                 to = max(at + 1, int(np.searchsorted(upto, floor + _BATCH_CHARS, "right")))
                 yield _cut(work, ids_of[at:to], text.slice(at, to - at), capacity, with_ids)
                 at = to
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

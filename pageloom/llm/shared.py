@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,5 +51,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+def released() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

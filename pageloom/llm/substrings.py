@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.shared import written
+from pageloom.llm.shared import released, written
 
 WINDOW, GRAM = 13, 6
 #: UTF-8 bytes of a chunk of documents and, about, of the text behind a shard.
@@ -242,6 +242,7 @@ def _segments(buckets: int) -> Callable:
                 run_of, size = one[mine], chunk.count[one[mine]] + WINDOW - 1
                 words, codes = np.unique(chunk.word[_flat(chunk.start[run_of], size)], return_inverse=True)
                 out.append((int(shard[mine[0]]), number, _seal(content[mine], owner[mine], size.astype(np.uint32), words, codes.astype(np.uint32))))
+        released()
         shard, number, blob = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"shard": pa.array(shard, pa.int64()), "chunk": pa.array(number, pa.int64()), "blob": pa.array(blob, pa.binary())})
 
@@ -315,11 +316,22 @@ class FMIndex:
         base = self._before[symbol]
         return base + self._bwt.rank(symbol, lo), base + self._bwt.rank(symbol, hi)
 
+    def _longest(self, codes: np.ndarray) -> tuple[int, int, int]:
+        """The interval and length of the longest prefix of these words that the index has."""
+        for length in range(len(codes), 0, -1):
+            lo, hi = np.zeros(1, np.int64), np.full(1, self.n)
+            for symbol in codes[:length][::-1]:
+                lo, hi = self.extend(np.array([symbol]), lo, hi)
+            if hi[0] > lo[0]:
+                return int(lo[0]), int(hi[0]), length
+        return 0, self.n, 0
+
     def owners(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The smallest owner of each window of each streamed segment, windows in order, segments one after the other.
 
         All segments step together, from their last words to their first. The matching statistic of a window that
-        the index doesn't have falls below WINDOW; its owner is then nobody and the search starts over behind it.
+        the index doesn't have falls below WINDOW; its owner is then nobody, and the search goes on with the longest
+        match from there.
         """
         many = size - WINDOW + 1
         first = np.cumsum(many) - many
@@ -333,9 +345,8 @@ class FMIndex:
             at = size[:live] - 1 - step
             lo, hi = self.extend(codes[begin[:live] + at], lo, hi)
             length = length + 1
-            lost = hi <= lo
-            if lost.any():
-                lo[lost], hi[lost], length[lost] = 0, self.n, 0
+            for i in np.flatnonzero(hi <= lo).tolist():
+                lo[i], hi[i], length[i] = self._longest(codes[begin[i] + at[i] :][: length[i] - 1])
             full = np.flatnonzero(length == WINDOW)
             out[first[full] + at[full]] = self.owner[self.window[lo[full]]]
             around = self._short[lo[full]]
@@ -368,7 +379,10 @@ def _shard(group: pa.Table) -> pa.Table:
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         mine = inverse[a:b]
         blobs.append(_seal(content[a:b], many[mine].astype(np.uint32), found[_flat(where[mine], many[mine])]))
-    return pa.table({"chunk": group.column("chunk").cast(pa.int64()), "reply": pa.array(blobs, pa.binary())})
+    out = pa.table({"chunk": group.column("chunk").cast(pa.int64()), "reply": pa.array(blobs, pa.binary())})
+    del parts, codes, text, index, found
+    released()
+    return out
 
 
 # --- judgement ------------------------------------------------------------------------------------------------
@@ -435,6 +449,7 @@ def _judged(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
             batch, texts, ids = _unpacked(rows.as_py())
             chunk = Chunk(texts, ids)
             out.append(make(batch, texts, chunk, _covered(chunk, right.column("reply").to_pylist())))
+        released()
         return pa.concat_tables(out)
 
     return by_chunk.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(judge, schema)

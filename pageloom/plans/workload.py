@@ -146,7 +146,7 @@ def switch_counter(spark, root):
 
 
 def replay_summary(spark, root):
-    found = policies.summary(policies.greedy(_ordered(_families(spark, root)), threshold=0.1, sticky=True))
+    found = policies.summary(_rounded(policies.greedy(_ordered(_families(spark, root)), threshold=0.1, sticky=True)))
     return found.select(*[V.round6(F.col(c)).alias(c) for c in ("total_query_cost", "total_movement_cost", "total_cost")], "switch_count", "window_count")
 
 

@@ -15,7 +15,10 @@ from pageloom.llm.features import code_points, grams
 SIZES, BITS = (3, 4, 5), 18
 #: The model learns from about so many labelled rows of each class, chosen by a hash of the id.
 TRAIN_ROWS = 1500
-SMOOTHING, L2, ROUNDS = 1.0, 1e-4, 120
+#: Buckets count whose log ratio is at least so many standard errors from 0 and that more than two texts have.
+STRENGTH = 3.0
+#: Toxic texts' part of the loss, the penalty on weights, steps and their size.
+SHARE, L2, ROUNDS, RATE = 0.25, 1e-3, 150, 0.01
 
 
 @dataclass(frozen=True)
@@ -24,7 +27,7 @@ class Model:
     bias: float
 
     def score(self, buckets: np.ndarray) -> float:
-        z = self.bias + (float(self.weight[buckets].sum()) / np.sqrt(len(buckets)) if len(buckets) else 0.0)
+        z = self.bias + float(self.weight[buckets].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -57,7 +60,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class
 
 
 def fit(rows: DataFrame, limit: int = 2 * TRAIN_ROWS + 1000) -> Model:
-    """Logistic regression on presence / sqrt(n) features times r, the log ratio of the classes' bucket frequencies."""
+    """Logistic regression on the presence of buckets times r, the log ratio of how often the classes have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Presence()
@@ -75,33 +78,30 @@ def fit(rows: DataFrame, limit: int = 2 * TRAIN_ROWS + 1000) -> Model:
     got = got.sort_values(["y", "key"], kind="stable")  # the same model whatever the order of arrival
     docs = [np.frombuffer(f, np.uint32) for f in got["f"]]
     y = got["y"].to_numpy(np.float64)
-    count = np.fromiter(map(len, docs), np.int64, len(docs))
-    col = np.concatenate(docs) if docs else np.empty(0, np.uint32)
-    row = np.repeat(np.arange(len(docs), dtype=np.int32), count)
-    in_one = np.bincount(col, weights=y[row], minlength=size) + SMOOTHING
-    in_none = np.bincount(col, weights=1 - y[row], minlength=size) + SMOOTHING
-    r = np.log(in_one / in_one.sum() / (in_none / in_none.sum())).astype(np.float32)
-    used = np.flatnonzero((in_one + in_none) > 2 * SMOOTHING + 2)  # a bucket of one or two texts teaches nothing
-    r[np.setdiff1d(np.arange(size), used)] = 0
-    keep = r[col] != 0
-    row, col = row[keep], col[keep]
-    scale = (1 / np.sqrt(np.maximum(count, 1))).astype(np.float32)
-    value = r[col] * scale[row]
-    weigh = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, b = np.ones(size, np.float32), 0.0
+    seen = np.zeros((2, size))
+    for f, label in zip(docs, y.astype(int).tolist(), strict=True):
+        seen[label, f] += 1
+    (none, one), n1 = seen + 0.5, y.sum()
+    n0 = len(y) - n1
+    r = np.log(one / (n1 + 1)) - np.log(none / (n0 + 1))
+    strong = (np.abs(r) >= STRENGTH * np.sqrt(1 / one + 1 / none)) & (seen.sum(0) > 2)
+    r = np.where(strong, r, 0).astype(np.float32)
+    docs = [f[strong[f]] for f in docs]
+    row, col = np.repeat(np.arange(len(docs)), [len(f) for f in docs]), np.concatenate(docs)
+    value = r[col]
+    weigh = np.where(y == 1, SHARE / n1, (1 - SHARE) / n0)
+    w, b = np.zeros(size, np.float32), 0.0
     m, v, mb, vb = np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 0.0
-    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(docs)))])
     for step in range(1, ROUNDS + 1):
-        run_sum = np.concatenate([[0.0], np.cumsum(value * w[col], dtype=np.float64)])
-        z = run_sum[starts[1:]] - run_sum[starts[:-1]] + b
+        z = np.bincount(row, weights=value * w[col], minlength=len(docs)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * weigh
-        g = np.bincount(col, weights=value * err[row].astype(np.float32), minlength=size).astype(np.float32) + L2 * (w - 1)
+        g = np.bincount(col, weights=value * err[row], minlength=size).astype(np.float32) + L2 * w
         gb = float(err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
-        w -= 0.05 * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= 0.05 * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
+        w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
+        b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
     return Model((w * r).astype(np.float32), b)
 
 

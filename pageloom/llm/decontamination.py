@@ -64,15 +64,15 @@ def fits_in_tasks(windows: DataFrame) -> bool:
 _COVERED = "array_sort(array_distinct(flatten(transform({hits}, h -> sequence(h.pos, h.pos + h.m - 1)))))"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs' columns with n_words, covered (positions of hit words) and items (ids of the items found, sorted).
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """docs' columns (those of carry, if given) with n_words, covered (positions of hit words) and items (ids of the items found, sorted).
 
     A word is hit if a window of some item's words, in the same order, lies over it. Null texts have no words.
     Repeated rows are judged each; empty tables give no hits or no rows; columns that have the names of
     results are replaced.
     """
     docs = docs.drop("n_words", "covered", "items")
-    names = [f"`{c}`" for c in docs.columns]
+    names = [f"`{c}`" for c in (docs.columns if carry is None else carry)]
     windows = benchmark_windows(benchmark, window)
     # rows that repeat all columns are told apart by this number; it does not outlive the grouping below
     rows = docs.withColumn("_row", F.monotonically_increasing_id())

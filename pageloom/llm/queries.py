@@ -55,7 +55,7 @@ def op4_license_scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
-    found = decontamination.contamination(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
+    found = decontamination.contamination(table(spark, root, "documents"), table(spark, root, "benchmark"), carry=["doc_id"])
     n_hit = F.size("covered").cast("long")
     return found.select(
         "doc_id",

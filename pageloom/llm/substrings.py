@@ -27,6 +27,8 @@ WINDOW, GRAM = 13, 6
 #: UTF-8 bytes of a chunk of documents and, about, of the text behind a shard.
 CHUNK_BYTES, SHARD_BYTES = 2 << 20, 16 << 20
 _NOBODY = np.iinfo(np.int64).max
+#: Words are compared by hashes of so many bytes.
+WORD_BYTES = 6
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -74,7 +76,7 @@ class Chunk:
         first = np.cumsum(size) - size
         within = np.arange(len(letters)) - np.repeat(first, size)
         value = _BYTE[raw[letters]] * _power(_BASE, int(size.max(initial=0)))[within]
-        self.word = _mix(np.add.reduceat(value, first) + size.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+        self.word = _mix(np.add.reduceat(value, first) + size.astype(np.uint64)) >> np.uint64(64 - 8 * WORD_BYTES) if len(first) else np.empty(0, np.uint64)
         upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         self.n_words = np.diff(np.searchsorted(begin, np.concatenate([[0], upto])))
         self.first_word = np.cumsum(self.n_words) - self.n_words
@@ -241,7 +243,7 @@ def _segments(buckets: int) -> Callable:
                 mine = order[x:y]
                 run_of, size = one[mine], chunk.count[one[mine]] + WINDOW - 1
                 words, codes = np.unique(chunk.word[_flat(chunk.start[run_of], size)], return_inverse=True)
-                out.append((int(shard[mine[0]]), number, _seal(content[mine], owner[mine], size.astype(np.uint32), words, codes.astype(np.uint32))))
+                out.append((int(shard[mine[0]]), number, _seal(content[mine], owner[mine], size.astype(np.uint32), words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES], codes.astype(np.uint32))))
         released()
         shard, number, blob = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"shard": pa.array(shard, pa.int64()), "chunk": pa.array(number, pa.int64()), "blob": pa.array(blob, pa.binary())})
@@ -356,7 +358,11 @@ class FMIndex:
 
 def _shard(group: pa.Table) -> pa.Table:
     """Builds the shard's index over its different segments and streams them through it; a reply for each chunk."""
-    parts = [_open(x, np.uint64, np.int64, np.uint32, np.uint64, np.uint32) for x in group.column("blob").to_pylist()]
+    parts = [_open(x, np.uint64, np.int64, np.uint32, np.uint8, np.uint32) for x in group.column("blob").to_pylist()]
+    for p in parts:
+        words = np.zeros((len(p[3]) // WORD_BYTES, 8), np.uint8)
+        words[:, :WORD_BYTES] = p[3].reshape(-1, WORD_BYTES)
+        p[3] = words.view(np.uint64).ravel()
     content = np.concatenate([p[0] for p in parts])
     owner, size = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
     vocabulary = np.unique(np.concatenate([p[3] for p in parts]))
@@ -461,7 +467,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     A word goes if a window of 13 words over it also starts in a document with a smaller doc_id; windows are
     judged on the input. Null texts have no words. A null doc_id counts as larger than any. Rows that repeat an
     id do not remove each other. An empty table gives an empty result; other columns are ignored. Words are
-    compared by 64-bit hashes.
+    compared by 48-bit hashes.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _judged(narrow, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

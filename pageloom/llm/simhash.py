@@ -251,6 +251,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """docs' rows whose doc_id is the smallest of its component, one row an id."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id")).distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in docs.columns])
+    """One row of each component of linked fingerprints: that with the smallest doc_id, a null one after every id.
+
+    Each row is judged by its own text. Rows that share a doc_id but not a component are all kept, and a row with a
+    null doc_id goes only if another row resembles it. Rows with equal ids in one component leave one, by a hash of
+    the text and then by place. Null, empty and wordless texts are one component.
+    """
+    names = [f"`{c}`" for c in docs.columns]
+
+    @F.arrow_udf("long")
+    def of_text(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
+
+    # rows are numbered once and written: a second evaluation might deal the numbers anew
+    rows = docs.select(*names, of_text(F.col("text").cast("string")).alias("_fp"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(rows, "simhash-rows")
+    doc_id = F.col("doc_id").cast("long")
+    place = F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text"), "_row")
+    first = written(rows.select("_fp", place.alias("first")).groupBy("_fp").agg(F.min("first").alias("first")), "simhash-first", narrow=True)
+    # a fingerprint is its own node, so ids link nothing
+    roots = components(links(first.select(F.col("_fp").alias("fp"), F.col("_fp").alias("node"))))
+    named = first.join(roots.select(F.col("u").alias("_fp"), "v"), "_fp", "left").select(F.coalesce("v", "_fp").alias("root"), "first")
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(keep, "_row", "left_semi").select(*names)

@@ -138,6 +138,18 @@ def test_simhash(docs, none):
     assert kept.count(0) == 1 and 9 not in kept and len(kept) == len(set(kept))
 
 
+def test_one_each_judges_rows(spark):
+    """Null ids and shared ids: only rows that resemble another row go."""
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcdefg"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (3, text["c"]), (3, text["d"]), (3, text["d"])]
+    rows += [(1, text["e"]), (5, text["e"]), (5, text["f"]), (None, text["f"]), (7, text["g"]), (2, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.one_each(docs)
+    assert got.columns == docs.columns
+    want = [(None, text["a"]), (None, text["b"]), (3, text["c"]), (3, text["d"]), (1, text["e"]), (5, text["f"]), (7, text["g"]), (2, "")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_anchor_points_miss_nothing():
     import numpy as np
 

@@ -155,8 +155,10 @@ def schedule_tables(spark, root):
 
 
 def _state_costs(spark, root):
-    rows = table(spark, root, "events").where("event_id < 600").select(F.expr("event_id div 20").alias("window_id"), (F.col("user_id") % 4).alias("state"), F.abs("value").alias("value"))
-    grid = spark.range(30).withColumnRenamed("id", "window_id").crossJoin(spark.range(4).withColumnRenamed("id", "state"))
+    """Costs of 4 states in every window of 20 events, from the first window to the last; 0 where there is no event."""
+    rows = table(spark, root, "events").select(F.expr("event_id div 20").alias("window_id"), (F.col("user_id") % 4).alias("state"), F.abs("value").alias("value"))
+    ends = rows.agg(F.min("window_id").alias("lo"), F.max("window_id").alias("hi")).where("lo is not null")
+    grid = ends.select(F.explode(F.sequence("lo", "hi")).alias("window_id")).crossJoin(spark.range(4).withColumnRenamed("id", "state"))
     sums = rows.groupBy("window_id", "state").agg(F.round(F.sum("value"), 6).alias("c"))
     return grid.join(sums, ["window_id", "state"], "left").select("window_id", "state", F.coalesce("c", F.lit(0.0)).alias("cost"))
 

@@ -109,7 +109,7 @@ def dis_block_meta(spark, root):
 
 def dis_read_fraction(spark, root):
     base, centre, n, metas = _dis(spark, root)
-    radius = partial.second_neighbour_radius(base.where("vec_id < 100").select("vec_id", "v"))
+    radius = partial.second_neighbour_radius(partial.radius_sample(base), base)
     found = partial.interval_read_fraction(query_stream(spark, root), metas, centre, radius, n)
     return found.select("query_id", "blocks", V.round6(F.col("fraction")).alias("fraction"))
 

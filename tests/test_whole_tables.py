@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from pageloom import registry
+from pageloom.operators import partial
+from pageloom.sources.tables import base_vectors
 
 ROOT = "/root/testdata/sf0.001"
 QUERIES = registry.queries()
@@ -38,3 +40,34 @@ def test_regret_covers_every_window(spark, costs):
                 break
         want.append((w, current, moved))
     assert sorted(map(tuple, QUERIES["regret_trace"](spark, ROOT).collect())) == want
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{ROOT}/embeddings.parquet").select("vec_id", "embedding").collect())
+    return np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+
+
+def test_radius_searches_the_whole_base(spark, vectors):
+    base = base_vectors(spark, ROOT)
+    x = vectors[1]
+    d = np.array([np.linalg.norm(x - p, axis=1) for p in x])
+    np.fill_diagonal(d, np.inf)
+    assert abs(partial.second_neighbour_radius(partial.radius_sample(base), base) - d.min(1).mean()) < 1e-6
+    few = base.where("vec_id < 20")
+    assert abs(partial.second_neighbour_radius(few, base) - d[:20].min(1).mean()) < 1e-6
+
+
+def test_dis_read_fraction_uses_that_radius(spark, vectors):
+    x = vectors[1]
+    d = np.array([np.linalg.norm(x - p, axis=1) for p in x])
+    np.fill_diagonal(d, np.inf)
+    r, c = d.min(1).mean(), x.mean(0)
+    s = np.sort(np.linalg.norm(x - c, axis=1))
+    blocks = np.minimum(np.arange(len(s)) // (len(s) // 20 + 1), 19)
+    want = {}
+    for q, v in zip(vectors[0][vectors[0] % 10 == 0] // 10, x[vectors[0] % 10 == 0], strict=True):
+        at = np.linalg.norm(v - c)
+        hit = [b for b in np.unique(blocks) if s[blocks == b].max() >= max(0.0, at - r) and s[blocks == b].min() <= at + r]
+        want[int(q)] = (len(hit), round(float(np.isin(blocks, hit).mean()), 6))
+    assert {r["query_id"]: (r["blocks"], r["fraction"]) for r in QUERIES["dis_read_fraction"](spark, ROOT).collect()} == want

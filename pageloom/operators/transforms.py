@@ -61,13 +61,45 @@ def anchor_count(n: int, low: int = 8, high: int = 128) -> int:
     return min(n, max(low, min(high, math.ceil(4 * math.log(max(n, 2))))))
 
 
-def query_anchors(queries: DataFrame, vector: str = "q", limit: int = 100_000) -> np.ndarray:
-    """At most 128 spread-out queries. The query set is the bounded side: more than `limit` is an error."""
-    got = queries.select("query_id", vector).limit(limit + 1).toPandas().sort_values("query_id")
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} queries: sample them first")
-    x = np.array(got[vector].tolist(), np.float64)
-    return x[farthest_points(x, anchor_count(len(x)))]
+def spread_out(rows: DataFrame, key: str, vector: str, low: int, high: int) -> np.ndarray:
+    """The farthest points of all rows, from that with the smallest key on; ties go to the smaller key.
+
+    An aggregate a point: each task sends the farthest of its rows, so the driver holds the points only.
+    """
+    held = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).persist()
+    try:
+        k = anchor_count(held.count(), low, high)
+        chosen = [np.array(r["v"]) for r in held.orderBy("id").limit(min(k, 1)).collect()]
+        while len(chosen) < k:
+
+            def run(batches, points=tuple(chosen)):
+                best = None
+                for batch in batches:
+                    if batch.num_rows:
+                        ids = batch.column(0).to_numpy(zero_copy_only=False)
+                        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                        far = np.min([np.linalg.norm(x - p, axis=1) for p in points], axis=0)
+                        at = np.lexsort((ids, -far))[0]
+                        best = min(best or (np.inf, 0, None), (-far[at], int(ids[at]), x[at]), key=lambda b: b[:2])
+                if best:
+                    yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2].tolist()])], ["d", "id", "v"])
+
+            # a row a task
+            found = min(held.mapInArrow(run, "d double, id long, v array<double>").collect(), key=lambda r: (r["d"], r["id"]))
+            chosen.append(np.array(found["v"]))
+    finally:
+        held.unpersist()
+    return np.array(chosen, np.float64)
+
+
+def query_anchors(queries: DataFrame, vector: str = "q") -> np.ndarray:
+    """8 to 128 spread-out queries, chosen from all of them."""
+    return spread_out(queries, "query_id", vector, 8, 128)
+
+
+def base_anchors(base: DataFrame, vector: str = "v") -> np.ndarray:
+    """16 to 256 spread-out vectors, chosen from all of them."""
+    return spread_out(base, "vec_id", vector, 16, 256)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -186,7 +218,7 @@ def query_layout(base: DataFrame, queries: DataFrame, dims: int, config: LayoutC
     a = adaptive_matrix(stats.covariance_matrix(queries.select(F.col("q").alias("v")), "v", dims))
     mapped_queries = linear(queries, "q", a, "query_id")
     x = linear(base, "v", a, "vec_id")
-    anchors = query_anchors(mapped_queries)
+    anchors = query_anchors(mapped_queries) if config.use_queries else base_anchors(x)
     x = gravity(x, "v", anchors, config.k, config.t, own=not config.use_queries)
     x = x.select("vec_id", V.normalise(F.col("v")).alias("v"))
     n = base.count()

@@ -16,8 +16,7 @@ def _long(rows):
 
 
 def gravity_q2d(spark, root):
-    got = query_stream(spark, root).where("query_id < 8").orderBy("query_id").toPandas()
-    return _long(transforms.gravity(base_vectors(spark, root), "v", np.array(got["q"].tolist())))
+    return _long(transforms.gravity(base_vectors(spark, root), "v", transforms.query_anchors(query_stream(spark, root))))
 
 
 def affine_map(spark, root):
@@ -34,8 +33,7 @@ def adaptive_trace(spark, root):
 
 def gravity_selves(spark, root):
     base = base_vectors(spark, root)
-    got = base.where("vec_id < 16").orderBy("vec_id").toPandas()
-    return _long(transforms.gravity(base, "v", np.array(got["v"].tolist()), own=True))
+    return _long(transforms.gravity(base, "v", transforms.base_anchors(base), own=True))
 
 
 def query_layout(spark, root):

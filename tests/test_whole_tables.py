@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pageloom import registry
-from pageloom.operators import partial
+from pageloom.operators import partial, transforms
 from pageloom.sources.tables import base_vectors
 
 ROOT = "/root/testdata/sf0.001"
@@ -71,3 +71,44 @@ def test_dis_read_fraction_uses_that_radius(spark, vectors):
         hit = [b for b in np.unique(blocks) if s[blocks == b].max() >= max(0.0, at - r) and s[blocks == b].min() <= at + r]
         want[int(q)] = (len(hit), round(float(np.isin(blocks, hit).mean()), 6))
     assert {r["query_id"]: (r["blocks"], r["fraction"]) for r in QUERIES["dis_read_fraction"](spark, ROOT).collect()} == want
+
+
+def _farthest(x, k):
+    chosen = [0]
+    while len(chosen) < k:
+        chosen.append(int(np.min([np.linalg.norm(x - x[c], axis=1) for c in chosen], axis=0).argmax()))
+    return x[chosen]
+
+
+def _table(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["vec_id"], {})[r["i"]] = r["x"]
+    return np.array([[out[i][j] for j in range(len(out[i]))] for i in sorted(out)])
+
+
+def test_gravity_anchors_come_from_all_queries(spark, vectors):
+    ids, x = vectors
+    a = _farthest(x[ids % 10 == 0], 16)  # 4 ln 50
+    between = np.array([[np.linalg.norm(p - q) for q in a] for p in a])
+    dc, want = between[between > 0].mean(), []
+    for v in x:
+        d = np.linalg.norm(a - v, axis=1)
+        near = np.argsort(d, kind="stable")[:3]
+        want.append(v + 0.3 * (1 + sum(dc / max(d[j] ** 2, 1e-8) * (a[j] - v) for j in near)))
+    got, want = _table(QUERIES["gravity_q2d"](spark, ROOT).collect()), np.array(want)
+    apart = ids % 10 != 0  # a query that is an anchor meets itself at a distance of rounding only
+    assert got.shape == want.shape and np.allclose(got[apart], want[apart], atol=1e-4)
+
+
+def test_gravity_selves_anchors_come_from_all_vectors(spark, vectors):
+    x = vectors[1]
+    a = _farthest(x, 25)  # 4 ln 500
+    assert np.array_equal(transforms.base_anchors(base_vectors(spark, ROOT)), a)
+    d = np.array([np.linalg.norm(a - v, axis=1) for v in x])
+    dc, want = np.sort(d, 1)[:, 1].mean(), []
+    for far in d:
+        near = np.argsort(far, kind="stable")[:4]
+        a0, d1 = a[near[0]], far[near[1]]
+        want.append(a0 + 0.3 * (1 + sum(dc * d1 / max(far[j] ** 2, 1e-8) * (a[j] - a0) for j in near[1:])))
+    assert np.allclose(_table(QUERIES["gravity_selves"](spark, ROOT).collect()), np.array(want), atol=1e-4)

@@ -174,11 +174,11 @@ def regret_trace(spark, root):
 def cost_profile_distance(spark, root):
     base, reps, queries, members = _layouts(spark, root)
     metas = partial.block_metas(members)
-    every = query_stream(spark, root)
+    every, total = query_stream(spark, root), _total_blocks(base)
 
     def profile(layout: int):
         one = reps.where(F.col("layout_id") == layout)
-        return partial.midpoint_costs(every.withColumn("layout_id", F.lit(layout).cast("long")), one, metas.where(F.col("layout_id") == layout), 32)
+        return partial.midpoint_costs(every.withColumn("layout_id", F.lit(layout).cast("long")), one, metas.where(F.col("layout_id") == layout), total)
 
     return stats.mean_distance(profile(0), profile(1), ["query_id"], "cost").select(V.round6(F.col("distance")).alias("distance"))
 

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pageloom import registry
 from pageloom.operators import partial, transforms
+from pageloom.plans import workload
 from pageloom.sources.tables import base_vectors
 
 ROOT = "/root/testdata/sf0.001"
@@ -112,3 +114,16 @@ def test_gravity_selves_anchors_come_from_all_vectors(spark, vectors):
         a0, d1 = a[near[0]], far[near[1]]
         want.append(a0 + 0.3 * (1 + sum(dc * d1 / max(far[j] ** 2, 1e-8) * (a[j] - a0) for j in near[1:])))
     assert np.allclose(_table(QUERIES["gravity_selves"](spark, ROOT).collect()), np.array(want), atol=1e-4)
+
+
+def test_cost_profiles_count_the_blocks(spark):
+    root = "/root/testdata/sf0.1"  # 2,000 vectors, so 125 blocks
+    base, reps, queries, members = workload._layouts(spark, root)
+    metas, costs = partial.block_metas(members), []
+    for i in (0, 1):
+        every = queries.withColumn("layout_id", F.lit(i).cast("long"))
+        hits = partial.midpoint_costs(every, reps.where(F.col("layout_id") == i), metas.where(F.col("layout_id") == i), 125)
+        costs.append({r["query_id"]: r["cost"] for r in hits.collect()})
+    assert costs[0].keys() == costs[1].keys() and len(costs[0]) == 200
+    want = np.mean([abs(costs[0][q] - costs[1][q]) for q in costs[0]])
+    assert abs(QUERIES["cost_profile_distance"](spark, root).first()["distance"] - want) < 1e-5

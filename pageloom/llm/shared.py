@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,31 +15,76 @@ from pyspark.sql import functions as F
 #: Words of the 'plain' kind: runs of anything but ASCII white space. bytes.split() splits at the same six bytes.
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_own: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[str]] = []
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session in one process gets a folder of its own; any other is refused, as its executors
+    would not see each other's files.
+    """
+    conf = spark.sparkContext.getConf()
+    named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or _own.get(spark.sparkContext.applicationId)
     if not named:
-        named = tempfile.mkdtemp(prefix="pageloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="pageloom-")
     return named.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    narrow: rows are a few numbers, so a file takes the rows of several partitions.
+    narrow: rows are a few numbers, so they are dealt to an eighth of the usual files; what made them keeps its width.
+    The table goes when dropped() is called, when the surrounding temporary() ends, or with the session.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(max(1, partitions(spark) // 8))
+        df = df.repartition(max(1, partitions(spark) // 8))
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing needs any more."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            delete(df.sparkSession, path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what written() has stored inside it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def lower_ascii(text: Column) -> Column:

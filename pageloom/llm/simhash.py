@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.shared import written
+from pageloom.llm.shared import dropped, written
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 #: Fingerprints of one anchor that are compared in one piece; anchors with more are cut in tiles that meet pairwise.
 TILE = 2048
+#: Up to so many fingerprints go to single anchors, about half a tile each; more go to pairs of anchors.
+SINGLE = 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -50,12 +52,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 # --- the covering code ---------------------------------------------------------------------------------------
-# The 64 bits are three parts. Two fingerprints within 4 bits are within 1 bit in part 0, or within 1 bit in
-# part 1, or equal in part 2: otherwise they differ in 2 + 2 + 1 bits. Parts 0 and 1 have the 4,096 words of the
-# perfect [23, 12] Golay code as anchors (covering radius 3), so each fingerprint goes to the anchors within
-# 3 + 1 bits, 5.3 on average. Part 2 has all 2^18 words as anchors (covering radius 0), each within 0 + 0 bits.
-
-_PARTS = ((0, 23), (23, 23), (46, 18))
+# The 64 bits are three parts of 22, 21 and 21 bits, each a word of the perfect [23, 12] Golay code's space with the
+# rest 0: 4,096 anchors a part, and every word lies within 3 bits (the covering radius) of exactly one of them.
+#
+# Single anchors. Of 4 differing bits some part has at most 1, so a fingerprint goes to all anchors within 3 + 1 bits
+# of each part, about 16 in all; whichever anchor covers one of two linked fingerprints has the other as well.
+#
+# Anchor pairs. Of 4 differing bits some two parts have at most 2 together. A fingerprint goes to all pairs of
+# anchors within 3 + i and 3 + j bits, i + j <= 2, about 61 for each two parts, of 16 million pairs. That keeps the
+# groups small where single anchors would hold more than a tile each.
+
+_PARTS = ((0, 22), (22, 21), (43, 21))
 _GENERATOR = 0b110001110101
 
 
@@ -67,8 +74,9 @@ def _remainder(word: int) -> int:
 
 
 @lru_cache(1)
-def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Syndromes of the low 12 and the high 11 bits; and for each syndrome the error patterns of up to 4 bits."""
+def _golay() -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Syndromes of the low 12 and the high 11 bits; and for errors of up to 3, of 4 and of 5 bits the patterns by
+    syndrome, where a syndrome's begin, and how many it has."""
     of_bit = [_remainder(1 << b) for b in range(23)]
 
     def table(bits: list[int]) -> np.ndarray:
@@ -77,44 +85,61 @@ def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
             out[1 << i : 2 << i] = out[: 1 << i] ^ s
         return out
 
-    errors = [(0, 0)]
-    for weight in range(1, 5):
-        for chosen in combinations(range(23), weight):
-            s = e = 0
-            for b in chosen:
-                s, e = s ^ of_bit[b], e | 1 << b
-            errors.append((s, e))
-    found = np.array(sorted(errors), np.int64)
-    first = np.searchsorted(found[:, 0], np.arange(2049))
-    return table(of_bit[:12]), table(of_bit[12:]), found[:, 1], first[:-1], np.diff(first)
-
-
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor) for every anchor of every fingerprint; anchors of different parts are different numbers."""
-    low, high, errors, first, many = _golay()
-    rows, keys, u = [], [], fp.view(np.uint64)
-    for part, (shift, width) in enumerate(_PARTS):
+    low, high, errors = table(of_bit[:12]), table(of_bit[12:]), []
+    for weights in (range(4), (4,), (5,)):
+        words = np.array([sum(1 << b for b in chosen) for w in weights for chosen in combinations(range(23), w)], np.int64)
+        syndrome = low[words & 4095] ^ high[words >> 12]
+        order = np.argsort(syndrome, kind="stable")
+        first = np.searchsorted(syndrome[order], np.arange(2049))
+        errors.append((words[order], first[:-1], np.diff(first)))
+    return low, high, errors
+
+
+def _within(x: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors at most 3 bits (excess 0), or 4 or 5 bits (1, 2), from each word: all of them, where each word's begin, how many."""
+    low, high, errors = _golay()
+    patterns, first, many = errors[excess]
+    s = low[x & 4095] ^ high[x >> 12]
+    n = many[s]
+    begin = np.cumsum(n) - n
+    row = np.repeat(np.arange(len(x)), n)
+    return x[row] ^ patterns[first[s][row] + np.arange(len(row)) - begin[row]], begin, n
+
+
+def anchors(fp: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) for every anchor, or pair of anchors, of every fingerprint; those of different parts are different numbers."""
+    u = fp.view(np.uint64)
+    near = []
+    for shift, width in _PARTS:
         x = (u >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
-        if width == 23:
-            s = low[x & 4095] ^ high[x >> 12]
-            n = many[s]
-            row = np.repeat(np.arange(len(x)), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            x = x[row] ^ errors[first[s][row] + step]
-        else:
-            row = np.arange(len(x))
-        rows.append(row)
-        keys.append(x | part << 32)
+        near.append([_within(x, e) for e in range(3 if pairs else 2)])
+    rows, keys = [], []
+    if not pairs:
+        for part, found in enumerate(near):
+            for anchor, _, n in found:
+                rows.append(np.repeat(np.arange(len(fp)), n))
+                keys.append(anchor | part << 23)
+        return np.concatenate(rows), np.concatenate(keys)
+    for number, (p, q) in enumerate(((0, 1), (0, 2), (1, 2))):
+        for i in range(3):
+            for j in range(3 - i):
+                (a, a_begin, a_n), (b, b_begin, b_n) = near[p][i], near[q][j]
+                n = a_n * b_n
+                row = np.repeat(np.arange(len(fp)), n)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                rows.append(row)
+                keys.append(a[a_begin[row] + step // b_n[row]] | b[b_begin[row] + step % b_n[row]] << 23 | number << 46)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _replicated(prints: DataFrame) -> DataFrame:
+def _replicated(prints: DataFrame, pairs: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 50_000):
-                part = batch.slice(at, 50_000)
+            step = 5_000 if pairs else 20_000
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 fp = part.column("fp").to_numpy(zero_copy_only=False)
-                row, key = anchors(np.ascontiguousarray(fp))
+                row, key = anchors(np.ascontiguousarray(fp), pairs)
                 node = part.column("node").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(node[row])], ["anchor", "fp", "node"])
 
@@ -154,10 +179,11 @@ def links(prints: DataFrame) -> DataFrame:
     Compared anchor by anchor. Anchors that hold more than TILE fingerprints are cut into tiles by a hash,
     and every two tiles meet in a group of their own, so a group is bounded whatever is near to what.
     """
-    near = written(_replicated(prints), "simhash-anchors")
-    # the code has 2 * 4,096 + 2^18 anchors, so this is bounded
+    pairs = prints.count() > SINGLE
+    near = written(_replicated(prints, pairs), "simhash-anchors")
     tiles = near.groupBy("anchor").count().where(F.col("count") > TILE).select("anchor", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    cut = near.join(F.broadcast(tiles), "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    # single anchors are 12,288; of the pairs any number may be crowded, so their table is not sent around unasked
+    cut = near.join(tiles if pairs else F.broadcast(tiles), "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keyed = cut.select("anchor", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
@@ -176,8 +202,10 @@ def links(prints: DataFrame) -> DataFrame:
         if held and held[0].shape[1]:
             yield _grouped(np.concatenate(held, 1))
 
-    found = dealt.mapInArrow(run, "u long, v long")
-    return found.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = dealt.mapInArrow(run, "u long, v long").where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = written(found, "simhash-links", narrow=True)
+    dropped(near)
+    return out
 
 
 def _grouped(cols: np.ndarray) -> pa.RecordBatch:
@@ -218,14 +246,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps until nothing changes. Minima are aggregated before they are shuffled, and
     a hub meets its minimum in a join that splits its rows, so no neighbourhood is gathered anywhere.
     """
-    edges = written(edges, "simhash-links", narrow=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _smallest(both)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "simhash-large", narrow=True)
-        low = large.join(_smallest(large), "u")
+        dropped(edges, least)
+        least = _smallest(large)
+        low = large.join(least, "u")
         small = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.where("u > v").distinct(), "simhash-small", narrow=True)
+        dropped(large, least)
         # steps keep what is connected, so they are done when every node has one link and no link's end has any
         ends = edges.groupBy("u").agg(F.count("*").alias("n"))
         more = edges.select(F.col("v").alias("u")).distinct().join(ends, "u", "left_semi").select(F.lit(2).cast("long").alias("n"))
@@ -246,6 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(nodes))
     # a document that several fingerprints share through a repeated id links them
     named = written(nodes.join(roots.select(F.col("u").alias("node"), "v"), "node", "left").select("fp", F.coalesce("v", "node").alias("component_id")), "simhash-named", narrow=True)
+    dropped(nodes, roots)
     found = prints.join(named, "fp", "left")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -255,22 +287,24 @@ def one_each(docs: DataFrame) -> DataFrame:
 
     Each row is judged by its own text. Rows that share a doc_id but not a component are all kept, and a row with a
     null doc_id goes only if another row resembles it. Rows with equal ids in one component leave one, by a hash of
-    the text and then by place. Null, empty and wordless texts are one component.
+    the text and then by place. Null, empty and wordless texts are one component. An empty table gives an empty
+    result; any other column may stand beside.
     """
-    names = [f"`{c}`" for c in docs.columns]
 
     @F.arrow_udf("long")
     def of_text(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64))
 
-    # rows are numbered once and written: a second evaluation might deal the numbers anew
-    rows = docs.select(*names, of_text(F.col("text").cast("string")).alias("_fp"), F.monotonically_increasing_id().alias("_row"))
+    # the columns of a row as one, so that no name of theirs meets a helper's; rows are numbered once and written: a
+    # second evaluation might deal the numbers anew
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), of_text(text).alias("fp"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "simhash-rows")
-    doc_id = F.col("doc_id").cast("long")
-    place = F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text"), "_row")
-    first = written(rows.select("_fp", place.alias("first")).groupBy("_fp").agg(F.min("first").alias("first")), "simhash-first", narrow=True)
+    doc_id = F.col("doc.doc_id").cast("long")
+    place = F.struct(doc_id.isNull().alias("last"), doc_id.alias("id"), F.xxhash64(F.col("doc.text").cast("string")).alias("text"), "row")
+    first = written(rows.select("fp", place.alias("first")).groupBy("fp").agg(F.min("first").alias("first")), "simhash-first", narrow=True)
     # a fingerprint is its own node, so ids link nothing
-    roots = components(links(first.select(F.col("_fp").alias("fp"), F.col("_fp").alias("node"))))
-    named = first.join(roots.select(F.col("u").alias("_fp"), "v"), "_fp", "left").select(F.coalesce("v", "_fp").alias("root"), "first")
-    keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(keep, "_row", "left_semi").select(*names)
+    roots = components(links(first.select("fp", F.col("fp").alias("node"))))
+    named = first.join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").select(F.coalesce("v", "fp").alias("root"), "first")
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(keep, "row", "left_semi").select(*[F.col(f"doc.`{c}`") for c in docs.columns])

@@ -45,9 +45,9 @@ def _op5() -> str:
 
 
 SQL: dict[str, str] = {
-    "op2_topk": "with v as (select vec_id, list_transform(embedding::double[], lambda x: floor(256 * x)) as v from embeddings where list_aggregate(list_transform(embedding::double[], lambda x: x is not null and isfinite(x)), 'bool_and')), "
-    "s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0), "
-    "r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5",
+    "op2_topk": "with v as (select row_number() over () as r, vec_id, list_transform(embedding::double[], lambda x: floor(256 * x)) as v from embeddings where vec_id is not null and list_aggregate(list_transform(embedding::double[], lambda x: x is not null and isfinite(x)), 'bool_and')), "
+    "s as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from v q join v c on q.r <> c.r where q.vec_id % 50 = 0), "
+    "o as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) select query_id, cast(rank as int) as rank, vec_id, score from o where rank <= 5",
     "op3_substring_dedup": r"with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents), "
     "s as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as s from (select doc_id, w, unnest(generate_series(1, len(w) - 12)) as i from d where len(w) >= 13)), "
     "f as (select s, min(doc_id) as first from s group by s), "
@@ -57,7 +57,7 @@ SQL: dict[str, str] = {
     "select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)",
     "op4_license_scan": _op4(),
     "op5_url_filter": _op5(),
-    "op10_decontamination": f"with b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where item_id is not null), "
+    "op10_decontamination": f"with b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark), "
     "bw as (select distinct item, least(len(w), 10) as m, array_to_string(list_slice(w, i, i + 9), ' ') as s from (select item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)), "
     f"d as (select doc_id, {_WORDS} as w from documents), ms as (select distinct m from bw), "
     "dw as (select doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') as s from (select doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from d, ms where len(w) >= m)), "

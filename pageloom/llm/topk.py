@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.shared import written
+
 #: Vectors of a candidate block, blocks of a stripe, queries of a query block, dimensions of a step.
 BLOCK, STRIPE, QUERIES, STEP = 4096, 4, 512, 16
 _EXACT = 2.0**53
@@ -24,27 +26,21 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
 
 
 def _packed(rows: DataFrame, blocks: int) -> DataFrame:
-    """(block, dims, n, ids, v): blocks of vectors of one length, a dimension's values side by side.
-
-    A block is a hash of the id, so rows that repeat an id meet; the smallest vector of an id counts.
-    """
+    """(block, dims, n, ids, rows, v): blocks of vectors of one length, a dimension's values side by side."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        first = {}
-        for i, v in zip(pdf["vec_id"].tolist(), pdf["v"], strict=True):
-            v = tuple(np.asarray(v).tolist())
-            if i not in first or v < first[i]:
-                first[i] = v
-        for dims in sorted({len(v) for v in first.values()}):
-            ids = np.array(sorted(i for i, v in first.items() if len(v) == dims), np.int64)
-            m = np.array([first[i] for i in ids.tolist()], np.int64).reshape(len(ids), dims)
+        pdf = pdf.sort_values(["vec_id", "row"], kind="stable")
+        dims_of = pdf["v"].map(len)
+        for dims, part in pdf.groupby(dims_of, sort=True):
+            m = np.array(part["v"].tolist(), np.int64).reshape(len(part), int(dims))
             kind = "<i2" if dims == 0 or abs(m).max(initial=0) < 2**15 else "<i8"
-            out.append((int(pdf["block"].iloc[0]), dims, kind, ids.tobytes(), np.ascontiguousarray(m.T).astype(kind).tobytes()))
-        return pd.DataFrame(out, columns=["block", "dims", "kind", "ids", "v"])
+            ids, own = (part[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "row"))
+            out.append((int(pdf["block"].iloc[0]), int(dims), kind, ids, own, np.ascontiguousarray(m.T).astype(kind).tobytes()))
+        return pd.DataFrame(out, columns=["block", "dims", "kind", "ids", "own", "v"])
 
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    return keyed.groupBy("block").applyInPandas(one, "block int, dims int, kind string, ids binary, v binary")
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks)).cast("int"))
+    return keyed.groupBy("block").applyInPandas(one, "block int, dims int, kind string, ids binary, own binary, v binary")
 
 
 class _Best:
@@ -63,7 +59,7 @@ class _Best:
         self.score, self.ids = score[order], ids[order]
 
 
-def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, best: list[_Best]) -> None:
+def _search(q_rows: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c_rows: np.ndarray, c: np.ndarray, best: list[_Best]) -> None:
     """Adds one block's candidates (dims x n) to the best of each query (rows of q).
 
     Scores grow step by step of dimensions, those first in which the queries have most mass. After each step a
@@ -79,11 +75,11 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     a, b = cuts[0]
     begun = q[:, a:b] @ c[a:b]
     slack = 1e-6 * (1 + np.abs(begun).max(initial=0))
-    for i, (query_id, found) in enumerate(zip(q_ids.tolist(), best, strict=True)):
+    own = np.isin(c_rows, q_rows)
+    for i, (row, found) in enumerate(zip(q_rows.tolist(), best, strict=True)):
         part, at = begun[i], None
-        own = np.searchsorted(c_ids, query_id)
-        if own < n and c_ids[own] == query_id:
-            at = np.delete(np.arange(n), own)
+        if own.any() and (mine := c_rows == row).any():
+            at = np.flatnonzero(~mine)
             part = part[at]
         for step, (a, b) in enumerate(cuts):
             if step:
@@ -99,15 +95,15 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
         found.add(part, c_ids if at is None else c_ids[at])
 
 
-def _read(row, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
+def _read(row, kind=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.v, row.kind).reshape(row.dims, len(ids)).astype(kind)
+    return ids, np.frombuffer(row.own, np.int64), np.frombuffer(row.v, row.kind).reshape(row.dims, len(ids)).astype(kind)
 
 
-def _exactly(q_ids, q, c_ids, c, best: list[_Best]) -> None:
-    """For components too large for exact doubles: Python integers; scores beyond a long are clamped."""
-    for i, (query_id, found) in enumerate(zip(q_ids.tolist(), best, strict=True)):
-        keep = c_ids != query_id
+def _exactly(q_rows, q, c_ids, c_rows, c, best: list[_Best]) -> None:
+    """For components too large for exact doubles: Python integers; a score past a long's range is the range's end."""
+    for i, (row, found) in enumerate(zip(q_rows.tolist(), best, strict=True)):
+        keep = c_rows != row
         score = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in (q[i] @ c)[keep].tolist()] if keep.any() else [], object)
         found.score = found.score.astype(object)
         ids = np.concatenate([found.ids, c_ids[keep]])
@@ -120,9 +116,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with every other vector.
 
     rows is (vec_id, v) with integer vectors; queries are compared with vectors of their own length. Ties go to
-    the smaller id, ranks count from 1; rows that repeat an id are one vector. Blocks of queries meet stripes of
-    candidate blocks, each pair in a task of bounded size. An empty table gives an empty result.
+    the smaller id, ranks count from 1. Rows that repeat an id are rows of their own: each is a candidate, for every
+    query but itself, and each that is a query has its own k results. Blocks of queries meet stripes of candidate
+    blocks, each pair in a task of bounded size. An empty table gives an empty result; scores past a long's range
+    are reported as the range's end.
     """
+    # numbered once and written: a second evaluation might deal the numbers anew
+    rows = written(rows.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "topk-rows")
     counts = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     n_blocks, n_query = max(1, -(-counts["n"] // BLOCK)), max(1, -(-counts["q"] // QUERIES))
     stripes = -(-n_blocks // STRIPE)
@@ -134,19 +134,19 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def pair(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out = []
         for mine in queries.itertuples():
-            q_ids, q = _read(mine)
+            q_ids, q_rows, q = _read(mine)
             best = [_Best(k) for _ in q_ids]
             for other in candidates[candidates["dims"] == mine.dims].sort_values("block").itertuples():
-                c_ids, c = _read(other)
+                c_ids, c_rows, c = _read(other)
                 if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, mine.dims) < _EXACT:
                     for at in range(0, len(q_ids), 64):
-                        _search(q_ids[at : at + 64], q.T[at : at + 64], c_ids, c, best[at : at + 64])
+                        _search(q_rows[at : at + 64], q.T[at : at + 64], c_ids, c_rows, c, best[at : at + 64])
                 else:
-                    _exactly(q_ids, _read(mine, object)[1].T, *_read(other, object), best)
-            out += [(i, j, int(s)) for i, b in zip(q_ids.tolist(), best, strict=True) for j, s in zip(b.ids.tolist(), b.score.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    _exactly(q_rows, _read(mine, object)[2].T, *_read(other, object), best)
+            out += [(i, r, j, int(s)) for i, r, b in zip(q_ids.tolist(), q_rows.tolist(), best, strict=True) for j, s in zip(b.ids.tolist(), b.score.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"])
 
-    met = q.groupBy("qb", "stripe").cogroup(c.groupBy("qb", "stripe")).applyInPandas(pair, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = q.groupBy("qb", "stripe").cogroup(c.groupBy("qb", "stripe")).applyInPandas(pair, "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

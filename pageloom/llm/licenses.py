@@ -56,7 +56,7 @@ def _strings(words: tuple[str, ...]) -> Column:
 
 def document_counts(rows: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many documents each licence word is: one row a word comes back, counted over the whole table."""
-    own = F.array_intersect(F.col("_w"), _strings(tuple(words)))
+    own = F.array_intersect(F.col("w"), _strings(tuple(words)))
     counts = rows.select(F.explode(own).alias("t")).groupBy("t").count()
     return {r["t"]: r["count"] for r in counts.collect()}
 
@@ -75,42 +75,46 @@ def _places(t: Template, counts: dict[str, int]) -> Column:
     at, n = t.key
     anchor, *others = _by_idf(t, counts)
     word = t.words[anchor].replace("'", "''")
-    starts = f"transform(filter(_lic, p -> p.w = '{word}'), p -> p.i - {anchor})"
-    checks = " and ".join([f"s + {at} >= 0", *[f"get(_w, s + {j}) = '{t.words[j]}'" for j in others]])
+    starts = f"transform(filter(lic, p -> p.w = '{word}'), p -> p.i - {anchor})"
+    checks = " and ".join([f"s + {at} >= 0", *[f"get(w, s + {j}) = '{t.words[j]}'" for j in others]])
     ok = f"filter({starts}, s -> {checks})"
     if len(t.words) == n:
         return F.expr(f"transform({ok}, s -> named_struct('s', s, 'share', 1.0D))")
-    hit = " + ".join(f"if(s + {j} >= 0 and get(_w, greatest(s + {j}, 0)) <=> '{w}', 1, 0)" for j, w in enumerate(t.words))
+    hit = " + ".join(f"if(s + {j} >= 0 and get(w, greatest(s + {j}, 0)) <=> '{w}', 1, 0)" for j, w in enumerate(t.words))
     return F.expr(f"filter(transform({ok}, s -> named_struct('s', s, 'share', ({hit}) / {len(t.words)}D)), x -> x.share >= {t.least}D)")
 
 
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """docs' columns with n_words, base places (starts, sorted), base_labels, labels and score.
 
-    Words are lower-cased runs of digits, letters and anything outside ASCII; a null text has none. score is
+    Words are lower-cased runs of digits, letters and anything outside ASCII; a null or empty text has none. score is
     the largest share of a found template's words that stand in place, 0 if none is found. Rows are judged
-    each on its own, so repeated rows, ties and skew cost nothing; columns named like results are replaced.
+    each on its own, so repeated rows, ties and skew cost nothing; an empty table gives an empty result. Columns
+    named like results are replaced, any other name may stand.
     """
-    rows = docs.drop("n_words", "places", "base_labels", "labels", "score").withColumn("_w", words_of(F.col("text").cast("string")))
+    results = ("n_words", "places", "base_labels", "labels", "score")
+    names = [c for c in docs.columns if c not in results]
+    # the columns of a row as one, so that no name of theirs meets a helper's
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), words_of(F.col("text").cast("string")).alias("w"))
     key_words = sorted({w for t in templates for w in t.words[t.key[0] : t.key[0] + t.key[1]]})
     counts = document_counts(rows, key_words)
     rare = sorted({t.words[_by_idf(t, counts)[0]] for t in templates})
     listed = ", ".join(f"'{w}'" for w in rare)
     # postings of the anchor words only: texts without one are done after one look at their words
-    lic = f"if(arrays_overlap(_w, array({listed})), filter(transform(_w, (w, i) -> named_struct('i', i, 'w', w)), p -> p.w in ({listed})), array())"
-    rows = rows.withColumn("_lic", F.expr(lic))
-    found = rows.withColumns({f"_t{k}": _places(t, counts) for k, t in enumerate(templates)})
+    lic = f"if(arrays_overlap(w, array({listed})), filter(transform(w, (x, i) -> named_struct('i', i, 'w', x)), p -> p.w in ({listed})), array())"
+    rows = rows.withColumn("lic", F.expr(lic))
+    found = rows.withColumns({f"t{k}": _places(t, counts) for k, t in enumerate(templates)})
     base = [k for k, t in enumerate(templates) if t.base]
 
     def labels(ks: list[int]) -> Column:
-        named = F.array(*[F.when(F.size(f"_t{k}") > 0, F.lit(templates[k].label)) for k in ks])
+        named = F.array(*[F.when(F.size(f"t{k}") > 0, F.lit(templates[k].label)) for k in ks])
         return F.array_join(F.array_sort(F.array_distinct(F.array_compact(named))), ",")
 
-    shares = F.flatten(F.array(*[F.col(f"_t{k}.share") for k in range(len(templates))]))
+    shares = F.flatten(F.array(*[F.col(f"t{k}.share") for k in range(len(templates))]))
     return found.select(
-        *[f"`{c}`" for c in docs.columns if c not in ("n_words", "places", "base_labels", "labels", "score")],
-        F.size("_w").cast("long").alias("n_words"),
-        F.array_sort(F.flatten(F.array(*[F.col(f"_t{k}.s") for k in base]))).alias("places"),
+        *[F.col(f"doc.`{c}`") for c in names],
+        F.size("w").cast("long").alias("n_words"),
+        F.array_sort(F.flatten(F.array(*[F.col(f"t{k}.s") for k in base]))).alias("places"),
         labels(base).alias("base_labels"),
         labels(list(range(len(templates)))).alias("labels"),
         F.coalesce(F.array_max(shares), F.lit(0.0)).alias("score"),

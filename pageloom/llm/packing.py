@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -20,6 +20,20 @@ CAPACITY = 2048
 GROUP_DOCS = 4096
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The normaliser and splitter of tokenizers that can be looked up word by word; any other encodes whole texts.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 _BATCH_CHARS = 4_000_000
 
 
@@ -27,7 +41,8 @@ class WordTokeniser:
     """The ids of a word-level BPE tokenizer, found word by word with a bounded memory.
 
     No piece of the tokenizer's own splitting spans a blank or a line end, so a text's ids are those of
-    its blank-separated chunks in order. Each different chunk of a batch is looked up once.
+    its blank-separated chunks in order. Each different chunk of a batch is looked up once. A tokenizer file with
+    another normaliser or splitter than the known one encodes whole texts instead.
     """
 
     def __init__(self, path: str, remembered: int = 200_000):
@@ -35,6 +50,9 @@ class WordTokeniser:
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
+        spec = json.loads(self._whole.to_str())
+        # special tokens are searched before normalisation, so one that is normalised or takes blanks along is not known
+        self._by_word = all(spec.get(k) == v for k, v in _KNOWN.items()) and spec["model"]["type"] == "BPE" and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"])
         self._model = self._whole.model
         self._specials = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._pieces = regex.compile(_SPLIT).findall
@@ -74,6 +92,9 @@ class WordTokeniser:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, the number of each text's ids)."""
+        if not self._by_word:
+            found = [np.array(self._whole.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
         lines = pc.replace_substring(texts, "\n", " ")
         chunks = pc.split_pattern(lines, " ")
         coded = pc.dictionary_encode(chunks.values)
@@ -109,12 +130,12 @@ def _tokeniser(path: str) -> WordTokeniser:
 
 
 def pieces(docs: DataFrame, tokeniser_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document, an end id 0 after its tokens.
+    """(doc_id, piece, start, length, ids_crc32[, ids as bytes]) of every document, an end id 0 after its tokens.
 
     Null and empty texts are the end id alone. Documents longer than `capacity` are cut into pieces of that
     length, the last one shorter. A null doc_id stays null. Columns beside doc_id and text are not read.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _tokeniser(tokeniser_path)
@@ -143,12 +164,12 @@ def _cut(work: WordTokeniser, doc_ids: list, texts: pa.Array, capacity: int, wit
         at += n
         for piece, start in enumerate(range(0, n + 1, capacity)):
             part = own[start : start + capacity]
-            rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
+            rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), part.tobytes() if with_ids else None))
     doc, piece, start, length, crc, ids = zip(*rows, strict=True) if rows else ((),) * 6
     columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if with_ids:
-        columns.append(pa.array(list(ids), pa.list_(pa.int32())))
+        columns.append(pa.array(ids, pa.binary()))
         names.append("ids")
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -226,23 +247,30 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(parts: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """parts with (sequence_id, offset): hashed groups of some thousand documents are packed apart.
+    """parts with (sequence_id, offset), ids as numbers: hashed groups of some thousand documents are packed apart.
 
-    Sequences of different groups never mix, so groups are independent tasks of bounded size; a very long
-    document's pieces are spread over all groups by piece number.
+    Sequences of different groups never mix, so groups are independent tasks of bounded size. A piece's group is a
+    hash of its id, its number, its tokens and its place in the input, so no id, null or repeated, makes a large group.
     """
     groups = max(1, -(-n_docs // group_docs))
-    schema = f"{parts.select('*').schema.simpleString()[7:-1]},sequence_id:bigint,offset:bigint"
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in parts.schema) + ", sequence_id long, offset long"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        number, offset = best_two_fit(pdf["length"].to_numpy(np.int64), capacity)
-        group = int(pdf["grp"].iloc[0])
-        return pdf.drop(columns="grp").assign(sequence_id=number * groups + group, offset=offset)
-
-    keyed = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return keyed.groupBy("grp").applyInPandas(one, schema)
+    names = [c for c in parts.columns if c != "ids"]
+    kinds = dict(parts.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), *["ids array<int>"] * ("ids" in kinds), "sequence_id long", "offset long"])
+
+    def one(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("place", "ascending")]).combine_chunks()
+        length = group.column("length").to_numpy()
+        number, offset = best_two_fit(length, capacity)
+        columns = [group.column(c) for c in names]
+        if "ids" in kinds:
+            flat = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<i4")
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat)))
+        sequence = number * groups + group.column("grp")[0].as_py()
+        return pa.table([*columns, pa.array(sequence), pa.array(offset)], names=[*names, *["ids"] * ("ids" in kinds), "sequence_id", "offset"])
+
+    keyed = parts.withColumn("place", F.monotonically_increasing_id())
+    keyed = keyed.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "place"), F.lit(groups)))
+    return keyed.groupBy("grp").applyInArrow(one, schema)
 
 
 def best_fit_packing(docs: DataFrame, tokeniser_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -2,11 +2,17 @@
 
 A window of 13 words is routed by its minimizer, the smallest hash of the 6-word runs in it, so equal windows meet
 in one shard and a document goes only where its words can match. Consecutive windows with one minimizer travel as a
-segment. A first exchange of 32-bit minimizer hashes leaves at home what stands in one document only; a second
-brings the remaining segments to their shards, equal ones of a chunk of documents as one. Each shard sorts the
-suffixes of its different segments by 13 words, keeps their Burrows-Wheeler transform in a wavelet matrix and
-searches every segment backwards, one step a word: 13 matched words give the interval of a window and the smallest
-document in it, and dropping the last word is a look-up of the 12-word interval around it.
+segment, with its words. A first exchange of 32-bit minimizer hashes leaves at home what stands in one document only;
+a second brings the remaining segments to their shards, equal ones of a chunk of documents as one.
+
+A shard halves its documents by id, again and again: the half with the smaller ids is the reference, the other half
+is streamed. The reference is the text of an FM-index (suffixes sorted by 13 words, their Burrows-Wheeler transform
+in a wavelet matrix, a bit a position for the 12-word intervals); every streamed segment is searched backwards for
+its matching statistics, the longest match that ends at each word, and a window is repeated where that reaches 13.
+Each two documents of a shard are on different sides exactly once. Hashes route and group; words decide.
+
+A minimizer of many chunks is split: its windows travel one by one, by a hash of all their words, and first meet
+within groups of chunks, which send on only what is new in the group.
 """
 
 from __future__ import annotations
@@ -26,9 +32,9 @@ from pageloom.llm.shared import released, written
 WINDOW, GRAM = 13, 6
 #: UTF-8 bytes of a chunk of documents and, about, of the text behind a shard.
 CHUNK_BYTES, SHARD_BYTES = 2 << 20, 16 << 20
+#: A segment has at most so many windows. A minimizer in more than so many chunks is split, in groups of so many.
+SEGMENT, HEAVY, GROUP = 64, 256, 1024
 _NOBODY = np.iinfo(np.int64).max
-#: Words are compared by hashes of so many bytes.
-WORD_BYTES = 6
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -62,8 +68,26 @@ def _spans(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) ->
     return _mix((upto[end] - upto[begin]) * _power(pow(base, -1, 2**64), len(values) + 1)[begin] + (end - begin).astype(np.uint64))
 
 
+def _flat(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _words(size: np.ndarray, letters: np.ndarray) -> pa.Array:
+    """The words that stand one after the other in `letters`, of these sizes."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters))])
+
+
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, letters) of words."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset) if len(words) else np.zeros(1, np.int64)
+    data = words.buffers()[2]
+    return np.diff(ends), np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and len(words) else np.empty(0, np.uint8)
+
+
 class Chunk:
-    """Some documents: the hashes of their words, their windows, and the runs of windows with one minimizer."""
+    """Some documents: codes and hashes of their words, their windows, and the segments of windows with one minimizer."""
 
     def __init__(self, texts: list[bytes], doc_ids: np.ndarray):
         self.doc_ids = doc_ids
@@ -71,25 +95,27 @@ class Chunk:
         space = _SPACE[raw]
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
         begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        size = end - begin
-        letters = np.flatnonzero(~space)
+        coded = _words(end - begin, raw[~space]).dictionary_encode()
+        self.code, self.vocabulary = np.asarray(coded.indices), coded.dictionary
+        size, letters = _letters(self.vocabulary)
         first = np.cumsum(size) - size
         within = np.arange(len(letters)) - np.repeat(first, size)
-        value = _BYTE[raw[letters]] * _power(_BASE, int(size.max(initial=0)))[within]
-        self.word = _mix(np.add.reduceat(value, first) + size.astype(np.uint64)) >> np.uint64(64 - 8 * WORD_BYTES) if len(first) else np.empty(0, np.uint64)
+        value = _BYTE[letters] * _power(_BASE, int(size.max(initial=0)))[within]
+        hashes = _mix(np.add.reduceat(value, first) + size.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+        self.word = hashes[self.code]
         upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         self.n_words = np.diff(np.searchsorted(begin, np.concatenate([[0], upto])))
         self.first_word = np.cumsum(self.n_words) - self.n_words
-        self._runs()
+        self._segments()
 
-    def _runs(self) -> None:
+    def _segments(self) -> None:
         h, n = self.word, len(self.word)
         many = np.maximum(self.n_words - WINDOW + 1, 0)
         doc = np.repeat(np.arange(len(many)), many)
         self.window = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + self.first_word[doc]
         if not len(doc):
-            self.start = self.count = self.doc = np.empty(0, np.int64)
-            self.minimizer = self.content = np.empty(0, np.uint64)
+            self.first = self.start = self.count = self.doc = self.like = np.empty(0, np.int64)
+            self.minimizer = np.empty(0, np.uint64)
             return
         g = np.zeros(n - GRAM + 1, np.uint64)
         for j in range(GRAM):
@@ -100,15 +126,34 @@ class Chunk:
             low = np.minimum(low[:-step], low[step:])
             have += step
         low = low[self.window]
-        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
-        self.start, self.doc, self.minimizer = self.window[new], doc[new], low[new]
-        self.count = np.diff(np.append(new, len(doc)))
-        self.content = _spans(h, self.start, self.start + self.count + WINDOW - 1, _WORD_BASE)
-
-
-def _flat(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
-    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+        begin = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]))
+        size = np.diff(np.append(begin, len(doc)))
+        pieces = -(-size // SEGMENT)
+        part = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        #: the first window of each segment, its first word, its number of windows, its document
+        self.first = np.repeat(begin, pieces) + SEGMENT * part
+        self.count = np.minimum(np.repeat(size, pieces) - SEGMENT * part, SEGMENT)
+        self.start, self.doc, self.minimizer = self.window[self.first], doc[self.first], low[self.first]
+        self.like = self._equal()
+
+    def _equal(self) -> np.ndarray:
+        """For each segment the one with the same words, first by document id and then by place, that stands for it."""
+        size = self.count + WINDOW - 1
+        content = _spans(self.word, self.start, self.start + size, _WORD_BASE)
+        order = np.lexsort((np.arange(len(content)), self.doc_ids[self.doc], content))
+        new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
+        like = np.empty(len(content), np.int64)
+        like[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        # the hash proposes, the words decide: what differs stands for itself
+        other = np.flatnonzero(like != np.arange(len(like)))
+        same = size[other] == size[like[other]]
+        like[other[~same]] = other[~same]
+        other = other[same]
+        if len(other):
+            differs = self.code[_flat(self.start[other], size[other])] != self.code[_flat(self.start[like[other]], size[other])]
+            wrong = np.add.reduceat(differs.astype(np.int64), np.cumsum(size[other]) - size[other]) > 0
+            like[other[wrong]] = other[wrong]
+        return like
 
 
 def _seal(*arrays: np.ndarray) -> bytes:
@@ -133,8 +178,8 @@ def _bucket(minimizer: np.ndarray, buckets: int) -> np.ndarray:
 # --- chunks ---------------------------------------------------------------------------------------------------
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, n_bytes, rows): docs in pieces of about CHUNK_BYTES of text; rows is a compressed Arrow batch."""
+def _chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(chunk, n_bytes, rows): docs in pieces of about `size` bytes of text; rows is a compressed Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -145,7 +190,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 floor = int(upto[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(upto, floor + CHUNK_BYTES, "right")))
+                to = max(at + 1, int(np.searchsorted(upto, floor + size, "right")))
                 sink = pa.BufferOutputStream()
                 part = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names).slice(at, to - at)
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -197,53 +242,86 @@ def _raw(values: np.ndarray, bits: np.ndarray) -> bytes:
     return len(values).to_bytes(8, "little") + values.tobytes() + bits.tobytes()
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """For each chunk that sent minimizers to this bucket: a bit each, set if another document has it as well."""
-    blobs = group.column("blob").to_pylist()
-    sizes = [int.from_bytes(x[:8], "little") for x in blobs]
-    value = np.concatenate([np.frombuffer(x, np.uint32, n, 8) for x, n in zip(blobs, sizes, strict=True)])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=8 + 4 * n), count=n) for x, n in zip(blobs, sizes, strict=True)]).astype(bool)
-    order = np.argsort(value, kind="stable")
-    s = value[order]
-    same = s[1:] == s[:-1]
-    again = np.zeros(len(s), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again |= twice
-    cut = np.cumsum([0, *sizes])
-    bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table({"chunk": group.column("chunk").cast(pa.int64()), "bucket": group.column("bucket").cast(pa.int64()), "bits": pa.array(bits, pa.binary())})
+def _answer(limit: int) -> Callable:
+    """For each chunk that sent minimizers to a bucket: a bit each, set if another document has it as well, and a bit
+    each, set if more than `limit` chunks have it (null if none is)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = group.column("blob").to_pylist()
+        sizes = [int.from_bytes(x[:8], "little") for x in blobs]
+        value = np.concatenate([np.frombuffer(x, np.uint32, n, 8) for x, n in zip(blobs, sizes, strict=True)])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=8 + 4 * n), count=n) for x, n in zip(blobs, sizes, strict=True)]).astype(bool)
+        order = np.argsort(value, kind="stable")
+        s = value[order]
+        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+        many = np.diff(np.append(begin, len(s)))
+        chunks = np.empty(len(s), np.int64)
+        chunks[order] = np.repeat(many, many)
+        again, heavy = (chunks > 1) | twice, chunks > limit
+        cut = np.cumsum([0, *sizes])
+        bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        split = [np.packbits(heavy[a:b]).tobytes() if heavy[a:b].any() else None for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table({"chunk": group.column("chunk").cast(pa.int64()), "bucket": group.column("bucket").cast(pa.int64()), "bits": pa.array(bits, pa.binary()), "heavy": pa.array(split, pa.binary())})
+
+    return run
 
 
 # --- second exchange: segments to their shards ----------------------------------------------------------------
 
 
-def _segments(buckets: int) -> Callable:
+def _wanted(chunk: Chunk, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments that travel, one of each content: those that travel whole, and those that are split."""
+    m, b, _ = _sent(chunk, buckets)
+    again, heavy = np.zeros(len(m), bool), np.zeros(len(m), bool)
+    for bucket, bits, split in zip(*(answers.column(c).to_pylist() for c in ("bucket", "bits", "heavy")), strict=True):
+        x, y = np.searchsorted(b, [bucket, bucket + 1])
+        again[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(y - x)).astype(bool)
+        if split is not None:
+            heavy[x:y] = np.unpackbits(np.frombuffer(split, np.uint8), count=int(y - x)).astype(bool)
+    own = chunk.like == np.arange(len(chunk.like))
+    split = np.isin(chunk.minimizer, m[heavy])
+    return np.flatnonzero(own & np.isin(chunk.minimizer, m[again & ~heavy])), np.flatnonzero(own & split)
+
+
+def _packed(code: np.ndarray, vocabulary: pa.Array, first: np.ndarray, owner: np.ndarray, key: np.ndarray, begin: np.ndarray, count: np.ndarray) -> bytes:
+    """Segments as bytes: each one's first window, owner, group and number of windows; the different words; the words' codes."""
+    used, codes = np.unique(code[_flat(begin, count + WINDOW - 1)], return_inverse=True)
+    size, letters = _letters(vocabulary.take(pa.array(used)))
+    codes = codes.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    return _seal(first.astype(np.uint32), owner, key.astype(np.uint32), count.astype(np.uint8), size.astype(np.uint32), letters, np.array([codes.itemsize], np.uint8), codes.view(np.uint8))
+
+
+def _unpack(blob: bytes) -> tuple:
+    first, owner, key, count, size, letters, width, codes = _open(blob, np.uint32, np.int64, np.uint32, np.uint8, np.uint32, np.uint8, np.uint8, np.uint8)
+    return first, owner, key, count.astype(np.int64), size.astype(np.int64), letters, codes.view(np.uint16 if width[0] == 2 else np.uint32)
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0])) if len(order) else order
+    for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=False):
+        yield int(shard[order[x]]), order[x:y]
+
+
+def _segments(buckets: int, groups: int) -> Callable:
+    """Shards 0 .. buckets - 1 are by minimizer, or by window for split ones; above lie their shards a group of chunks."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int, bytes]] = []
         for number, rows in zip(left.column("chunk").to_pylist(), left.column("rows"), strict=True):
             chunk = _chunk(rows.as_py())
-            m, b, _ = _sent(chunk, buckets)
-            again = np.zeros(len(m), bool)
-            for bucket, bits in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True):
-                x, y = np.searchsorted(b, [bucket, bucket + 1])
-                again[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(y - x)).astype(bool)
-            wanted = np.flatnonzero(np.isin(chunk.minimizer, m[again]))
-            if not len(wanted):
-                continue
-            content, inverse = np.unique(chunk.content[wanted], return_inverse=True)
-            owner = np.full(len(content), _NOBODY)
-            np.minimum.at(owner, inverse, chunk.doc_ids[chunk.doc[wanted]])
-            one = np.empty(len(content), np.int64)
-            one[inverse] = wanted
-            shard = _bucket(chunk.minimizer[one], buckets)
-            order = np.argsort(shard, kind="stable")
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
-            for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
-                mine = order[x:y]
-                run_of, size = one[mine], chunk.count[one[mine]] + WINDOW - 1
-                words, codes = np.unique(chunk.word[_flat(chunk.start[run_of], size)], return_inverse=True)
-                out.append((int(shard[mine[0]]), number, _seal(content[mine], owner[mine], size.astype(np.uint32), words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES], codes.astype(np.uint32))))
+            whole, split = _wanted(chunk, right, buckets)
+            alone = _flat(chunk.first[split], chunk.count[split])
+            key = _spans(chunk.word, chunk.window[alone], chunk.window[alone] + WINDOW, _WORD_BASE)
+            first, begin = np.concatenate([chunk.first[whole], alone]), np.concatenate([chunk.start[whole], chunk.window[alone]])
+            owner = chunk.doc_ids[chunk.doc[np.concatenate([whole, np.repeat(split, chunk.count[split])])]]
+            count = np.concatenate([chunk.count[whole], np.ones(len(alone), np.int64)])
+            key = np.concatenate([chunk.minimizer[whole], key])
+            shard = _bucket(key, buckets)
+            if groups > 1:
+                shard[len(whole) :] = buckets + shard[len(whole) :] * groups + (number * 0x9E3779B97F4A7C15 >> 32) % 2**32 % groups
+            for to, mine in _by_shard(shard):
+                out.append((to, number, _packed(chunk.code, chunk.vocabulary, first[mine], owner[mine], key[mine], begin[mine], count[mine])))
         released()
         shard, number, blob = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"shard": pa.array(shard, pa.int64()), "chunk": pa.array(number, pa.int64()), "blob": pa.array(blob, pa.binary())})
@@ -251,30 +329,57 @@ def _segments(buckets: int) -> Callable:
     return run
 
 
+# --- the index ------------------------------------------------------------------------------------------------
+
+
+class Bits:
+    """A sequence of bits with the number of ones before every 64th."""
+
+    def __init__(self, bit: np.ndarray):
+        self.n = len(bit)
+        padded = np.zeros((len(bit) // 64 + 1) * 64, bool)
+        padded[: len(bit)] = bit
+        self._bits = np.packbits(padded, bitorder="little").view("<u8")
+        ones = np.cumsum(np.bitwise_count(self._bits), dtype=np.int64)
+        self.ones = int(ones[-1])
+        self._counts = np.concatenate([[0], ones]).astype(np.int32 if len(bit) < 2**31 else np.int64)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before each position."""
+        word = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self._counts[word] + np.bitwise_count(self._bits[word] & mask)
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """Where the k-th one stands, from 0; the end if there are no more."""
+        inside = np.minimum(k, max(self.ones - 1, 0))
+        word = np.searchsorted(self._counts, inside, "right") - 1
+        left, bits, at = inside - self._counts[word], self._bits[np.minimum(word, len(self._bits) - 1)], np.zeros(len(k), np.uint64)
+        for step in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(bits >> at & np.uint64((1 << step) - 1)).astype(np.int64)
+            up = left >= low
+            left, at = np.where(up, left - low, left), np.where(up, at + np.uint64(step), at)
+        return np.where(k < self.ones, (word << 6) + at.astype(np.int64), self.n)
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, a packed bit a level and symbol with counts every 64 bits."""
+    """Ranks of symbols in a sequence, a bit a level and symbol."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.levels = max(1, int(sigma - 1).bit_length())
         self.n, current = len(symbols), symbols
-        self._bits, self._counts, self._zeros = [], [], []
+        self._bits, self._zeros = [], []
         for level in range(self.levels - 1, -1, -1):
             bit = (current >> level & 1).astype(bool)
-            padded = np.zeros((len(bit) // 64 + 1) * 64, bool)
-            padded[: len(bit)] = bit
-            packed = np.packbits(padded, bitorder="little").view("<u8")
-            self._bits.append(packed)
-            self._counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32 if len(bit) < 2**31 else np.int64))
+            self._bits.append(Bits(bit))
             self._zeros.append(len(bit) - int(bit.sum()))
             current = np.concatenate([current[~bit], current[bit]])
         # where each symbol's block begins on the last level
-        self._base = self._down(np.arange(sigma), np.zeros(sigma, np.int64))
+        self._base = self._down(np.arange(sigma), np.zeros(sigma, np.int64)).astype(np.int32 if self.n < 2**31 else np.int64)
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
-            word = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self._counts[k][word] + np.bitwise_count(self._bits[k][word] & mask)
+            ones = self._bits[k].rank(at)
             at = np.where((symbol >> (self.levels - 1 - k) & 1).astype(bool), self._zeros[k] + ones, at - ones)
         return at
 
@@ -291,104 +396,141 @@ def _pairs(a: np.ndarray, step: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Backward search over segments of words, suffixes sorted by WINDOW words, with the smallest owner of each window."""
-
-    def __init__(self, codes: np.ndarray, sigma: int, owner: np.ndarray):
-        """codes: all segments, a 0 after each; owner: the document of each position."""
-        rank, have = codes, 1
-        twelve = None
-        while have < WINDOW:
-            if 2 * have >= WINDOW - 1 and twelve is None:
-                twelve = _pairs(rank, WINDOW - 1 - have)
-            step = min(have, WINDOW - have)
-            rank, have = _pairs(rank, step), have + step
-        order = np.argsort(rank, kind="stable")
-        whole, short = rank[order], twelve[order]
-        self.n = len(codes)
-        self._bwt = WaveletMatrix(codes[order - 1], sigma)
-        self._before = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=sigma))])[:-1]
-        self.window = np.cumsum(np.concatenate([[0], (whole[1:] != whole[:-1]).astype(np.int64)]))
-        begin = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-        self.owner = np.minimum.reduceat(owner[order], begin)
-        self._short = np.cumsum(np.concatenate([[0], (short[1:] != short[:-1]).astype(np.int64)]))
-        self._short_begin = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        self._short_end = np.append(self._short_begin[1:], self.n)
+    """Backward search in a text of symbols: its transform in a wavelet matrix, and a bit where a new 12-symbol prefix begins."""
+
+    def __init__(self, text: np.ndarray, sigma: int):
+        """text: segments of symbols 1 .. sigma - 1, a 0 after each."""
+        rank, have = text, 1
+        while 2 * have < WINDOW - 1:
+            rank, have = _pairs(rank, have), 2 * have
+        short = _pairs(rank, WINDOW - 1 - have)
+        order = np.argsort(_pairs(rank, WINDOW - have), kind="stable")
+        self.n, self._bwt = len(text), WaveletMatrix(text[order - 1], sigma)
+        self._before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1]
+        short = short[order]
+        self._short = Bits(np.concatenate([[True], short[1:] != short[:-1]]))
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the matches with a symbol put before them."""
+        both = self._bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         base = self._before[symbol]
-        return base + self._bwt.rank(symbol, lo), base + self._bwt.rank(symbol, hi)
-
-    def _longest(self, codes: np.ndarray) -> tuple[int, int, int]:
-        """The interval and length of the longest prefix of these words that the index has."""
-        for length in range(len(codes), 0, -1):
-            lo, hi = np.zeros(1, np.int64), np.full(1, self.n)
-            for symbol in codes[:length][::-1]:
-                lo, hi = self.extend(np.array([symbol]), lo, hi)
-            if hi[0] > lo[0]:
-                return int(lo[0]), int(hi[0]), length
-        return 0, self.n, 0
-
-    def owners(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The smallest owner of each window of each streamed segment, windows in order, segments one after the other.
-
-        All segments step together, from their last words to their first. The matching statistic of a window that
-        the index doesn't have falls below WINDOW; its owner is then nobody, and the search goes on with the longest
-        match from there.
+        return base + both[: len(lo)], base + both[len(lo) :]
+
+    def shortened(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first 12 symbols of matches of 13."""
+        k = self._short.rank(lo + 1)
+        return self._short.select(k - 1), self._short.select(k)
+
+    def matching_statistics(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each place of each streamed segment codes[begin:begin+size], one after the other: the length, at most
+        13, of the longest match that ends there; 0 where no window can end. Symbols below 0 match nothing.
+
+        All segments step together from their last symbols to their first. A match of 13 drops its last symbol and goes
+        on; one that can't be extended gives its length, and the search starts over one place before its end.
         """
-        many = size - WINDOW + 1
-        first = np.cumsum(many) - many
-        out = np.full(int(many.sum()), _NOBODY)
-        lane = np.argsort(-size, kind="stable")
-        begin, size, first = begin[lane], size[lane], first[lane]
-        lo, hi, length = np.zeros(len(lane), np.int64), np.full(len(lane), self.n), np.zeros(len(lane), np.int64)
-        for step in range(int(size.max(initial=0))):
-            live = int(np.searchsorted(-size, -step, "left"))  # lanes with more than `step` words
-            lo, hi, length = lo[:live], hi[:live], length[:live]
-            at = size[:live] - 1 - step
-            lo, hi = self.extend(codes[begin[:live] + at], lo, hi)
-            length = length + 1
-            for i in np.flatnonzero(hi <= lo).tolist():
-                lo[i], hi[i], length[i] = self._longest(codes[begin[i] + at[i] :][: length[i] - 1])
+        out = np.zeros(int(size.sum()), np.int8)
+        base = np.cumsum(size) - size - begin  # where a place's result stands
+        lane = np.flatnonzero(size >= WINDOW)
+        at = begin[lane] + size[lane] - 1  # the next symbol to put before the match
+        length, lo, hi = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64), np.full(len(lane), self.n)
+        while len(lane):
+            symbol = codes[at]
+            known = symbol >= 0
+            new_lo, new_hi = self.extend(np.where(known, symbol, 0), lo, hi)
+            good = known & (new_hi > new_lo)
+            end = at + length  # the last place of the match
+            lo, hi, length = np.where(good, new_lo, 0), np.where(good, new_hi, self.n), np.where(good, length + 1, length)
+            done = good & ((length == WINDOW) | (at == begin[lane]))
+            out[base[lane[done]] + end[done]] = length[done]
+            bad = ~good
+            out[base[lane[bad]] + end[bad]] = length[bad]
+            at = np.where(good, at - 1, np.where(length > 0, end - 1, at - 1))
+            length = np.where(good, length, 0)
             full = np.flatnonzero(length == WINDOW)
-            out[first[full] + at[full]] = self.owner[self.window[lo[full]]]
-            around = self._short[lo[full]]
-            lo[full], hi[full], length[full] = self._short_begin[around], self._short_end[around], WINDOW - 1
+            lo[full], hi[full] = self.shortened(lo[full])
+            length[full] = WINDOW - 1
+            # the match ends at `at + length`; a window that ends there needs 12 places before it
+            live = (at >= begin[lane]) & (at + length - begin[lane] >= WINDOW - 1)
+            lane, at, length, lo, hi = lane[live], at[live], length[live], lo[live], hi[live]
         return out
 
 
-def _shard(group: pa.Table) -> pa.Table:
-    """Builds the shard's index over its different segments and streams them through it; a reply for each chunk."""
-    parts = [_open(x, np.uint64, np.int64, np.uint32, np.uint8, np.uint32) for x in group.column("blob").to_pylist()]
-    for p in parts:
-        words = np.zeros((len(p[3]) // WORD_BYTES, 8), np.uint8)
-        words[:, :WORD_BYTES] = p[3].reshape(-1, WORD_BYTES)
-        p[3] = words.view(np.uint64).ravel()
-    content = np.concatenate([p[0] for p in parts])
-    owner, size = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]).astype(np.int64)
-    vocabulary = np.unique(np.concatenate([p[3] for p in parts]))
-    codes = np.concatenate([np.searchsorted(vocabulary, p[3])[p[4]] for p in parts]) + 1
-    begin = np.cumsum(size) - size
-    _, one, inverse = np.unique(content, return_index=True, return_inverse=True)
-    least = np.full(len(one), _NOBODY)
-    np.minimum.at(least, inverse, owner)
-    # different segments only, each closed by 0
-    length = size[one]
-    text = np.zeros(int(length.sum()) + len(one), np.int64)
-    at = np.cumsum(length + 1) - (length + 1)
-    text[_flat(at, length)] = codes[_flat(begin[one], length)]
-    index = FMIndex(text, len(vocabulary) + 1, np.repeat(least, length + 1))
-    found = index.owners(text, at, length)
-    many = length - WINDOW + 1
-    where = np.cumsum(many) - many
-    cut = np.cumsum([0, *(len(p[0]) for p in parts)])
-    blobs = []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        mine = inverse[a:b]
-        blobs.append(_seal(content[a:b], many[mine].astype(np.uint32), found[_flat(where[mine], many[mine])]))
-    out = pa.table({"chunk": group.column("chunk").cast(pa.int64()), "reply": pa.array(blobs, pa.binary())})
-    del parts, codes, text, index, found
-    released()
-    return out
+def repeated(codes: np.ndarray, begin: np.ndarray, count: np.ndarray, owner: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which windows of the segments (windows in order, segments one after the other) also start in a smaller owner's segment.
+
+    Segments with a window in common have the same key. Owners are halved bit by bit of their rank: the smaller half of
+    each node is indexed and the other streamed, where they share a key. A window that is found is done, for whoever
+    has it on the streamed side, so only segments with other windows go on. Nodes of a level share one index, each
+    with symbols of its own.
+    """
+    size = count + WINDOW - 1
+    first = np.cumsum(count) - count
+    found = np.zeros(int(count.sum()), bool)
+    ranks = np.unique(owner, return_inverse=True)[1].astype(np.uint64)
+    keys = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    top = int(codes.max(initial=0)) + 1
+    active = np.arange(len(count))
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        node = ranks[active] >> np.uint64(bit + 1)
+        streamed = (ranks[active] >> np.uint64(bit) & np.uint64(1)).astype(bool)
+        place = node << np.uint64(32) | keys[active]
+        meets = np.empty(len(active), bool)
+        meets[streamed] = np.isin(place[streamed], place[~streamed])
+        meets[~streamed] = np.isin(place[~streamed], place[streamed])
+        given, asked = active[meets & ~streamed], active[meets & streamed]
+        if len(asked):
+            symbols = codes[_flat(begin[given], size[given])].astype(np.int64) + np.repeat(node[meets & ~streamed].astype(np.int64) * top, size[given])
+            known, dense = np.unique(symbols, return_inverse=True)
+            text = np.zeros(int(size[given].sum()) + len(given), np.int64)
+            text[_flat(np.cumsum(size[given] + 1) - (size[given] + 1), size[given])] = dense + 1
+            index = FMIndex(text, len(known) + 1)
+            symbols = codes[_flat(begin[asked], size[asked])].astype(np.int64) + np.repeat(node[meets & streamed].astype(np.int64) * top, size[asked])
+            at = np.minimum(np.searchsorted(known, symbols), len(known) - 1)
+            own = np.where(known[at] == symbols, at + 1, -1)
+            starts = np.cumsum(size[asked]) - size[asked]
+            statistics = index.matching_statistics(own, starts, size[asked])
+            found[_flat(first[asked], count[asked])] |= statistics[_flat(starts + WINDOW - 1, count[asked])] >= WINDOW
+        # go on where a node of the next level has the key in two documents
+        open_ = np.add.reduceat((~found).astype(np.int64), first)[active] > 0
+        active = active[open_]
+        place = ranks[active] >> np.uint64(bit) << np.uint64(32) | keys[active]
+        order = np.lexsort((ranks[active], place))
+        p, r = place[order], ranks[active][order]
+        begins = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.empty(0, np.int64)
+        last = np.append(begins[1:], len(p)) - 1 if len(p) else begins
+        shared = np.repeat(r[begins] != r[last], np.diff(np.append(begins, len(p)))) if len(p) else np.empty(0, bool)
+        active = active[np.sort(order[shared])]
+        if not len(active):
+            break
+    return found
+
+
+def _shard(buckets: int, groups: int) -> Callable:
+    """The replies to each chunk, and from a group's shard also what goes on to the shard of all groups."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = [_unpack(x) for x in group.column("blob").to_pylist()]
+        words = _words(np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts])).dictionary_encode()
+        code_of, upto = np.asarray(words.indices), np.cumsum([0, *(len(p[4]) for p in parts)])
+        codes = np.concatenate([code_of[a:b][p[6]] for a, b, p in zip(upto[:-1], upto[1:], parts, strict=True)])
+        first, owner, key, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        size = count + WINDOW - 1
+        begin = np.cumsum(size) - size
+        found = repeated(codes, begin, count, owner, key)
+        cut, window = np.cumsum([0, *(len(p[0]) for p in parts)]), np.concatenate([[0], np.cumsum(count)])
+        shard, onward = group.column("shard")[0].as_py(), []
+        chunks, replies = group.column("chunk").to_pylist(), []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            replies.append(_seal(first[a:b], count[a:b].astype(np.uint8), np.packbits(found[window[a] : window[b]])))
+            new = a + np.flatnonzero(~found[window[a] : window[b]]) if shard >= buckets else np.empty(0, np.int64)  # one window a segment here
+            onward.append(_packed(codes, words.dictionary, first[new], owner[new], key[new], begin[new], count[new]) if len(new) else None)
+        to = pa.array([(shard - buckets) // groups] * len(chunks), pa.int64())
+        out = pa.table({"chunk": pa.array(chunks, pa.int64()), "reply": pa.array(replies, pa.binary()), "shard": to, "blob": pa.array(onward, pa.binary())})
+        del parts, codes, words, found
+        released()
+        return out
+
+    return run
 
 
 # --- judgement ------------------------------------------------------------------------------------------------
@@ -396,23 +538,20 @@ def _shard(group: pa.Table) -> pa.Table:
 
 def _covered(chunk: Chunk, replies: list[bytes]) -> np.ndarray:
     """Which words of the chunk lie under a window that starts in a document with a smaller id."""
-    delta = np.zeros(len(chunk.word) + 1, np.int64)
-    if replies:
-        parts = [_open(x, np.uint64, np.uint32, np.int64) for x in replies]
-        content, many = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-        owners = np.concatenate([p[2] for p in parts])
-        where = np.cumsum(many) - many
-        order = np.argsort(content)
-        known = content[order]
-        at = np.minimum(np.searchsorted(known, chunk.content), len(known) - 1)
-        run = np.flatnonzero(known[at] == chunk.content)
-        reply = order[at[run]]
-        run, reply = run[chunk.count[run] == many[reply]], reply[chunk.count[run] == many[reply]]
-        owner = owners[_flat(where[reply], many[reply])]
-        mine = np.repeat(chunk.doc_ids[chunk.doc[run]], many[reply])
-        gone = _flat(chunk.start[run], chunk.count[run])[owner < mine]
-        delta[gone] += 1  # every window starts at a word of its own
-        np.subtract.at(delta, gone + WINDOW, 1)
+    found = np.zeros(len(chunk.window), bool)
+    for x in replies:
+        first, count, bits = _open(x, np.uint32, np.uint8, np.uint8)
+        size = count.astype(np.int64)
+        found[_flat(first.astype(np.int64), size)] |= np.unpackbits(bits, count=int(size.sum())).astype(bool)
+    # equal segments of the chunk: all windows are repeated if the one that stands for them has a smaller id
+    other = np.flatnonzero(chunk.like != np.arange(len(chunk.like)))
+    if len(other):
+        ids, size = chunk.doc_ids[chunk.doc], chunk.count[other]
+        whole = np.repeat(ids[chunk.like[other]] < ids[other], size)
+        found[_flat(chunk.first[other], size)] = whole | found[_flat(chunk.first[chunk.like[other]], size)]
+    delta = np.zeros(len(chunk.code) + 1, np.int64)
+    delta[chunk.window[found]] += 1  # every window starts at a word of its own
+    np.subtract.at(delta, chunk.window[found] + WINDOW, 1)
     return np.cumsum(delta[:-1]) > 0
 
 
@@ -439,15 +578,22 @@ def _rewritten(batch: pa.RecordBatch, texts: list[bytes], chunk: Chunk, gone: np
     return pa.Table.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
 
-def _judged(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
-    chunks = written(_chunks(docs), "substring-chunks")
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(8, int(total) // SHARD_BYTES)
+def _judged(docs: DataFrame, make: Callable, schema) -> DataFrame:
+    chunks = written(_chunks(docs, CHUNK_BYTES), "substring-chunks")
+    total = chunks.agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).first()
+    buckets, groups = max(8, int(total["b"] or 0) // SHARD_BYTES), -(-max(1, total["n"]) // GROUP)
     told = chunks.mapInArrow(_announce(buckets), "bucket long, chunk long, blob binary")
-    answers = told.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, bits binary")
+    answers = told.groupBy("bucket").applyInArrow(_answer(HEAVY), "chunk long, bucket long, bits binary, heavy binary")
     by_chunk = chunks.select("chunk", "rows")
-    segments = by_chunk.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_segments(buckets), "shard long, chunk long, blob binary")
-    replies = segments.groupBy("shard").applyInArrow(_shard, "chunk long, reply binary")
+    segments = by_chunk.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_segments(buckets, groups), "shard long, chunk long, blob binary")
+    search, result = _shard(buckets, groups), "chunk long, reply binary, shard long, blob binary"
+    if groups > 1:
+        segments = written(segments, "substring-segments")
+        near = written(segments.where(F.col("shard") >= buckets).groupBy("shard").applyInArrow(search, result), "substring-groups")
+        segments = segments.where(F.col("shard") < buckets).unionByName(near.where("blob is not null").select("shard", "chunk", "blob"))
+    replies = segments.groupBy("shard").applyInArrow(search, result).select("chunk", "reply")
+    if groups > 1:
+        replies = replies.unionByName(near.select("chunk", "reply"))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -466,8 +612,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 13 words over it also starts in a document with a smaller doc_id; windows are
     judged on the input. Null texts have no words. A null doc_id counts as larger than any. Rows that repeat an
-    id do not remove each other. An empty table gives an empty result; other columns are ignored. Words are
-    compared by 48-bit hashes.
+    id do not remove each other. An empty table gives an empty result; other columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _judged(narrow, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -476,7 +621,8 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated words cut out, the kept ones joined by blanks.
 
-    Texts that lose nothing stay as they are; documents that lose every word go. Other columns are kept.
+    Texts that lose nothing stay as they are; documents that lose every word go. Other columns are kept, whatever
+    their names; null ids and texts, repeated rows and empty tables are as above.
     """
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
-    return _judged(rows, _rewritten, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema))
+    return _judged(rows, _rewritten, rows.schema)

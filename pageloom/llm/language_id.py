@@ -9,15 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pageloom.llm.features import code_points, grams
+from pageloom.llm.shared import released
 
 SIZES, BITS = (1, 2, 3), 13
 #: The classifiers learn from about so many rows in all, in equal parts by language, chosen by a hash of the id.
 TRAIN_ROWS = 4000
-SCALE, L2, ROUNDS = 8.0, 1e-5, 80
-#: A prediction is ambiguous if the second codeword's share is within this of the first's.
-AMBIGUOUS = 0.1
+SCALE, L2, ROUNDS = 8.0, 1e-5, 60
+#: A prediction is ambiguous if the nearest codeword's loss is more than this part of the second's.
+AMBIGUOUS = 0.25
 UNKNOWN = "und"
 
 
@@ -49,15 +51,18 @@ class Model:
     bias: np.ndarray
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nearest language, its share, ambiguous) of each feature row, by the logistic loss against each codeword."""
+        """(nearest language, score, ambiguous) of each feature row, by the logistic loss against each codeword.
+
+        The score is the second codeword's part of the two smallest losses: 1/2 where both are equally near, 1 where
+        only one fits. Both losses grow with the margins alike, so a text in two languages scores low however long it is.
+        """
         margin = x @ self.weight + self.bias
         loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(2)
-        share = np.exp(-(loss - loss.min(1, keepdims=True)))
-        share /= share.sum(1, keepdims=True)
         best = loss.argmin(1)
-        top = share[np.arange(len(x)), best]
-        rest = np.sort(share, 1)[:, -2] if len(self.languages) > 1 else np.zeros(len(x))
-        return best, top, top - rest < AMBIGUOUS
+        if len(self.languages) < 2:
+            return best, np.ones(len(x)), np.zeros(len(x), bool)
+        least, second = np.partition(loss, 1, axis=1)[:, :2].T
+        return best, second / np.maximum(least + second, 1e-300), least > AMBIGUOUS * second
 
 
 def has_letter(text: str | None) -> bool:
@@ -84,37 +89,65 @@ def training_rows(docs: DataFrame, learn: Column, rows: int = TRAIN_ROWS) -> Dat
     return known.where(u < share).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
-def fit(rows: DataFrame, limit: int = TRAIN_ROWS + 1000) -> Model:
-    """One logistic regression for each bit of the codewords, all on the same bounded sample."""
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, f) of each row with a letter: a byte a feature, its root on a scale of 255."""
+    for batch in batches:
+        lang, found = [], []
+        for text, value in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            if has_letter(text):
+                lang.append(value)
+                found.append(np.rint(255 * np.sqrt(features(text) / SCALE)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(found, pa.binary())], ["lang", "f"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, found = [], []
-            for text, value in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if has_letter(text):
-                    lang.append(value)
-                    found.append(features(text).astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(found, pa.binary())], ["lang", "f"])
-
-    got = rows.mapInArrow(run, "lang string, f binary").limit(limit).toPandas()  # bounded by `limit`
-    languages = tuple(sorted(set(got["lang"])))
+
+def learned(lang: list[str], found: list[bytes]) -> Model:
+    """One logistic regression for each bit of the codewords, all on the same rows; languages weigh alike."""
+    languages = tuple(sorted(set(lang)))
     code = codewords(len(languages))
     if len(languages) < 2:
-        return Model(languages, code, np.zeros((1 << BITS, 1)), np.full(1, 30.0))
-    got = got.sort_values(["lang", "f"], kind="stable")  # the same model whatever the order of arrival
-    x = np.frombuffer(b"".join(got["f"]), np.float16).reshape(len(got), -1).astype(np.float32)
-    index = np.searchsorted(languages, got["lang"])
+        return Model(languages, code, np.zeros((1 << BITS, 1), np.float32), np.full(1, 30.0, np.float32))
+    x = np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1)
+    index = np.searchsorted(languages, lang)
     y = code[index].astype(np.float32)
     weigh = (1 / np.bincount(index)[index] / len(languages))[:, None].astype(np.float32)
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     m, v = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     for step in range(1, ROUNDS + 1):
-        err = -y / (1 + np.exp(np.clip(y * (x @ w + b), -60, 60))) * weigh
-        for i, (p, g) in enumerate(((w, x.T @ err + L2 * w), (b, err.sum(0)))):
+        gw, gb = L2 * w, np.zeros_like(b)
+        for at in range(0, len(x), 512):
+            part, own = x[at : at + 512].astype(np.float32), y[at : at + 512]
+            part *= part * np.float32(SCALE / 255**2)
+            err = -own / (1 + np.exp(np.clip(own * (part @ w + b), -60, 60))) * weigh[at : at + 512]
+            gw += part.T @ err
+            gb += err.sum(0)
+        for i, (p, g) in enumerate(((w, gw), (b, gb))):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
             p -= 0.1 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-9)
-    return Model(languages, code, w.astype(np.float32), b)
+    return Model(languages, code, w, b)
+
+
+def fit(rows: DataFrame, limit: int = TRAIN_ROWS + 1000) -> Model:
+    """The model of the bounded sample `rows`, learned in one task; only its weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang: list[str] = []
+        found: list[bytes] = []
+        for batch in batches:
+            lang += batch.column("lang").to_pylist()
+            found += batch.column("f").to_pylist()
+        model = learned(lang, found)
+        del found
+        released()
+        parts = [model.weight.astype("<f4").tobytes(), model.bias.astype("<f4").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([list(model.languages)], pa.list_(pa.string())), *(pa.array([p], pa.binary()) for p in parts)], ["languages", "weight", "bias"])
+
+    sample = rows.mapInArrow(_sampled, "lang string, f binary").limit(limit).repartition(1).sortWithinPartitions("lang", "f")  # the same model whatever the order of arrival
+    got = sample.mapInArrow(run, "languages array<string>, weight binary, bias binary").collect()
+    if not got:
+        return learned([], [])
+    languages, (weight, bias) = tuple(got[0]["languages"]), (np.frombuffer(got[0][c], "<f4") for c in ("weight", "bias"))
+    return Model(languages, codewords(len(languages)), weight.reshape(1 << BITS, -1), bias)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -138,16 +171,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     [*part.schema.names, "lang_pred", "score", "ambiguous"],
                 )
 
-    columns = [f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name not in ("lang_pred", "score", "ambiguous")]
-    kept = docs.drop("lang_pred", "score", "ambiguous").withColumn("text", F.col("text").cast("string"))
-    return kept.mapInArrow(run, ", ".join([*columns, "lang_pred string", "score double", "ambiguous boolean"]))
+    results = StructType().add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    kept = docs.drop(*results.names).withColumn("text", F.col("text").cast("string"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *results.fields]))
 
 
 def language_id(docs: DataFrame, learn: Column, target: DataFrame | None = None) -> DataFrame:
     """target (docs itself if not given) with lang_pred, score and ambiguous.
 
     Learns from text and lang of the rows of docs that `learn` admits; predicts from the text alone. A null
-    text or one without a letter is `und` with score 0; so is everything if nothing could be learned.
+    text or one without a letter is `und` with score 0; so is everything if nothing could be learned. A text whose
+    two nearest codewords are about equally near is ambiguous; of equal losses the first language counts.
     Repeated rows are predicted each; an empty table gives an empty result; columns of target that have the
     names of results are replaced.
     """

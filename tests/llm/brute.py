@@ -20,7 +20,7 @@ def decontamination(docs, benchmark, n=10):
     for item, text in benchmark:
         w = words(text)
         for i in range(max(1, len(w) - n + 1) if w else 0):
-            items.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            items.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [str(item)])
     sizes = {len(k) for k in items}
     out = []
     for doc_id, text in docs:
@@ -104,15 +104,15 @@ def near(docs, limit=4):
 def top_k(vectors, k=5, every=50):
     import math
 
-    rows = {}
+    rows = []
     for i, v in vectors:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        rows[i] = [math.floor(256 * x) for x in v]
+        rows.append((i, [math.floor(256 * x) for x in v]))
     out = []
-    for q in sorted(rows):
+    for at, (q, own) in enumerate(rows):
         if q % every == 0:
-            scored = [(-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q and len(v) == len(rows[q])]
+            scored = [(-sum(a * b for a, b in zip(own, v)), i) for j, (i, v) in enumerate(rows) if j != at and len(v) == len(own)]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
     return out
 

@@ -64,6 +64,43 @@ def test_run(spark, folder):
     assert Tokenizer.from_file(tokeniser_path()) and sum(r["offset"] == 0 for r in got) == len({r["sequence_id"] for r in got})
 
 
+def test_run_returns_whole_sequences(spark, folder):
+    """Each piece has the ids of its document's kept text, and nothing that a stage wrote for itself is left."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    got = corpus_pipeline.run(spark, folder).collect()
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and next(iter(left)).endswith("best_fit_packing")
+    whole, texts = Tokenizer.from_file(tokeniser_path()), {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    own = {r["doc_id"]: list(r["ids"]) for r in got}
+    assert own[1] == [*whole.encode(texts[1], add_special_tokens=False).ids, 0] and all(len(r["ids"]) == r["length"] for r in got)
+
+
+def test_empty_table_and_other_columns(spark, folder, tmp_path):
+    """Names of helpers beside the given columns, null and repeated ids, and a table without rows."""
+    import shutil
+
+    shutil.copytree(f"{folder}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    names = ["_row", "_w", "_fp", "doc", "row", "w", "fp", "score", "lang_pred", "ambiguous", "covered", "items", "chunk", "rows"]
+    text = [" ".join(f"{a}{i}of" for i in range(30)) for a in ("the", "and", "for")]
+    rows = [(i, t, "en", "s", 1, *names) for i, t in ((1, text[0]), (None, text[1]), (None, text[2]), (1, text[0]), (2, "7 8"), (3, None))]
+    rows += [(10 + i, f"le un de et la que {i}", "fr", "s", 1, *names) for i in range(9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            columns = docs.columns
+            docs = stage(spark, docs, str(tmp_path)).cache()
+            assert docs.columns == columns and all(r[c] == c for r in docs.collect() for c in names)
+        kept = [(r["doc_id"], r["text"]) for r in docs.collect() if r["lang"] == "en"]
+        assert sorted(kept, key=str) == sorted(((1, text[0]), (None, text[1]), (None, text[2])) if given else [], key=str)
+        assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
     assert decontamination.WINDOW == 10 and simhash.LIMIT == 4

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
 from pageloom.operators import stats
+from pageloom.operators.blocks import nearest_centres
 from pageloom.operators.ranking import ranked
 
 #: Keys are compared at nine decimals: the order then does not depend on how an engine adds floats.
@@ -24,11 +25,8 @@ def _key(c: Column) -> Column:
 
 
 def assign(base: DataFrame, centres: DataFrame) -> DataFrame:
-    """base with cid, c and dist of the nearest centre; ties go to the smaller cid. Centres are few and broadcast."""
-    near = F.min(F.struct(_key(V.l2(F.col("v"), F.col("c"))).alias("d"), "cid"))
-    pairs = base.crossJoin(F.broadcast(centres)).groupBy("vec_id").agg(near.alias("m"), F.first("v").alias("v"))
-    found = pairs.select("vec_id", "v", F.col("m.cid").alias("cid")).join(F.broadcast(centres), "cid")
-    return found.withColumn("dist", V.l2(F.col("v"), F.col("c")))
+    """(vec_id, v, cid, c, dist): base with the nearest centre; ties go to the smaller cid."""
+    return nearest_centres(base, centres)
 
 
 def centre_sums(centres: DataFrame, distance: Callable[[Column, Column], Column] = V.l2) -> DataFrame:

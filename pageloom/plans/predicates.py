@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
 from pageloom.operators import predicates as P
 from pageloom.sources import partitions
+from pageloom.sources.scratch import path_for
 from pageloom.sources.tables import table
 
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -64,7 +63,7 @@ def top_columns(spark, root):
 
 
 def partition_pruned_sql(spark, root):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/lineitem-by-band"
+    path = path_for(spark, "lineitem-by-band")
     partitions.write_partitions(_lines(spark, root), path)
     parts = P.matching_parts(_zones(spark, root), "bid", WORKLOAD[1])
     text = f"select l_returnflag, count(*) as n, round(sum(l_extendedprice), 2) as price from tbl where {WORKLOAD[1].sql()} group by l_returnflag"

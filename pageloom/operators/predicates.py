@@ -111,15 +111,33 @@ def zone_map(rows: DataFrame, by: str, columns: list[str], sets: Iterable[str] =
     return out
 
 
-def merge_zone_maps(a: DataFrame, b: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """The zone map after more rows came."""
+def merge_zone_maps(a: DataFrame, b: DataFrame, by: str, columns: list[str], sets: Iterable[str] = (), set_limit: int = 1000) -> DataFrame:
+    """The zone map after more rows came. A set that is unknown on one side, or too large together, is unknown."""
     both = a.unionByName(b, allowMissingColumns=True)
     aggs = [F.sum("size").alias("size")]
     for c in columns:
         aggs += [F.min(f"{c}_lo").alias(f"{c}_lo"), F.max(f"{c}_hi").alias(f"{c}_hi")]
+    for c in sets:
+        values = F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{c}_set"))))  # two sets of at most set_limit values
+        aggs.append(F.when((F.count_if(F.col(f"{c}_set").isNull()) == 0) & (F.size(values) <= set_limit), values).alias(f"{c}_set"))
     return both.groupBy(by).agg(*aggs)
 
 
+def category_boxes(rows: DataFrame, by: str, columns: list[str], limit: int, buckets: int) -> DataFrame:
+    """(by, column, kind, values, lo, hi): a category's values as a set, or as a range of hash buckets if there are more than the limit.
+
+    Different values come first, so a partition never gathers more than the limit. A bucket is the MD5's last byte modulo `buckets`.
+    """
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
+    values = rows.select(by, listed).select(by, "p.column", "p.value").where("value is not null").distinct()
+    bucket = F.conv(F.substring(F.md5(F.col("value").cast("binary")), 31, 2), 16, 10).cast("long") % buckets
+    counted = values.groupBy(by, "column").agg(F.count("*").alias("n"), F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))
+    small = values.join(counted.where(F.col("n") <= limit).select(by, "column"), [by, "column"]).groupBy(by, "column").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    many = F.col("n") > limit
+    met = counted.join(small, [by, "column"], "left")
+    return met.select(by, "column", F.when(many, "range").otherwise("set").alias("kind"), "values", F.when(many, F.col("lo")).alias("lo"), F.when(many, F.col("hi")).alias("hi"))
+
+
 def read_fractions(zones: DataFrame, predicates: list, n: int) -> DataFrame:
     """(query_id, parts, fraction): partitions that each predicate must read and their share of the rows. One pass over the zone map."""
     aggs = []
@@ -197,7 +215,20 @@ class Node:
         return F.when(F.col(c) > F.lit(x), self.above.label()).otherwise(self.below.label())
 
     def to_dict(self) -> dict:
-        return {"name": self.name, "size": self.size} if self.cut is None else {"cut": list(self.cut), "below": self.below.to_dict(), "above": self.above.to_dict()}
+        own = {"name": self.name, "size": self.size}
+        return own if self.cut is None else own | {"cut": list(self.cut), "below": self.below.to_dict(), "above": self.above.to_dict()}
+
+    @classmethod
+    def from_dict(cls, found: dict) -> Node:
+        """A tree that to_dict() wrote down; boxes are not kept."""
+        sides = {k: cls.from_dict(found[k]) for k in ("below", "above") if k in found}
+        return cls(found["name"], found["size"], {}, tuple(found["cut"]) if "cut" in found else None, **sides)
+
+    def lines(self, depth: int = 0) -> list[str]:
+        """The tree as indented text."""
+        if self.cut is None:
+            return [f"{'  ' * depth}leaf {self.name}: {self.size} rows"]
+        return [f"{'  ' * depth}{self.cut[0]} > {self.cut[1]}", *self.below.lines(depth + 1), *self.above.lines(depth + 1)]
 
 
 def _meets(box: dict[str, tuple], query: dict[str, tuple]) -> bool:

@@ -87,3 +87,53 @@ def last_rows(rows: DataFrame, order: str, w: int, *keys: str) -> DataFrame:
         return rows.orderBy(F.desc(order)).limit(w)
     recent = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(recent)).where(F.col("_n") <= w).drop("_n")
+
+
+def uniform_sample(rows: DataFrame, id_col: str, n: int, by: str, seed: int = 0) -> DataFrame:
+    """n rows of each group, by a hash of the id; their order is left to the id."""
+    w = Window.partitionBy(by).orderBy(uniform(F.col(id_col), seed), id_col)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def clustered_stream(rows: DataFrame, by: str, rounds: int, size: int, noise: float, seed: int) -> DataFrame:
+    """(query_id, by, vec_id, q): rounds of `size` queries, each round from one cluster: its members, moved in every
+    dimension by at most `noise` of that dimension's standard deviation. Clusters, members and noise are drawn by hashes."""
+    long = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.stddev_samp("x").alias("s"))
+    spread = long.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda s: s.s).alias("spread"))  # a row a dimension
+    groups = rows.groupBy(by).agg(F.count("*").alias("n"))  # a row a cluster
+    groups = groups.withColumn("p", F.row_number().over(Window.orderBy(by)) - 1).withColumn("k", F.count("*").over(Window.partitionBy()))
+    turns = rows.sparkSession.range(rounds).withColumnRenamed("id", "t")
+    chosen = turns.join(F.broadcast(groups), F.floor(uniform(F.col("t"), seed) * F.col("k")) == F.col("p"))
+    drawn = chosen.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("query_id", (F.col("t") * size + F.col("j")).cast("long"))
+    drawn = drawn.select("query_id", by, F.floor(uniform(F.col("query_id"), seed + 1) * F.col("n")).alias("place"))
+    members = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("vec_id")) - 1)
+    met = members.join(F.broadcast(drawn), [by, "place"]).crossJoin(F.broadcast(spread))  # rounds * size rows
+    dims = F.size("v")
+    moved = F.transform("v", lambda x, i: x + noise * F.get(F.col("spread"), i) * (2 * uniform(F.col("query_id") * dims + i, seed + 2) - 1))
+    return met.select("query_id", by, "vec_id", moved.alias("q"))
+
+
+def markov_templates(spark, templates: int, length: int, stay: float, seed: int) -> DataFrame:
+    """(query_id, template): a walk over query templates that stays with probability `stay`, else moves to another one.
+
+    A walk is one sequence; its steps come from a hash of the place, so the same seed gives the same walk.
+    """
+
+    def u(i: int, s: int) -> float:
+        return ((i * 2654435761 + s * 40503) % 1000003 + 1) / 1000005.0
+
+    at, rows = 0, []
+    for i in range(length):
+        if i and u(i, seed) >= stay:
+            at = (at + 1 + int(u(i, seed + 1) * (templates - 1))) % templates
+        rows.append((i, at))
+    return spark.createDataFrame(rows, "query_id long, template long")
+
+
+def random_ranges(rows: DataFrame, column: str, n: int, selectivity: float, seed: int) -> DataFrame:
+    """(query_id, lo, hi): ranges of a share of the column's span, drawn anywhere inside it."""
+    ends = rows.agg(F.min(column).alias("lo0"), F.max(column).alias("hi0"))
+    drawn = rows.sparkSession.range(n).withColumnRenamed("id", "query_id").crossJoin(F.broadcast(ends))
+    span = F.col("hi0") - F.col("lo0")
+    lo = F.col("lo0") + uniform(F.col("query_id"), seed) * span * (1 - selectivity)
+    return drawn.select("query_id", lo.alias("lo"), (lo + span * selectivity).alias("hi"))

@@ -172,15 +172,12 @@ def regret_trace(spark, root):
 
 
 def cost_profile_distance(spark, root):
+    """(layout_id, distance): how far each layout's costs for all queries lie from those of the layout after it."""
     base, reps, queries, members = _layouts(spark, root)
-    metas = partial.block_metas(members)
-    every, total = query_stream(spark, root), _total_blocks(base)
-
-    def profile(layout: int):
-        one = reps.where(F.col("layout_id") == layout)
-        return partial.midpoint_costs(every.withColumn("layout_id", F.lit(layout).cast("long")), one, metas.where(F.col("layout_id") == layout), total)
-
-    return stats.mean_distance(profile(0), profile(1), ["query_id"], "cost").select(V.round6(F.col("distance")).alias("distance"))
+    every = query_stream(spark, root).crossJoin(F.broadcast(reps.select("layout_id")))  # a row a window
+    costs = partial.midpoint_costs(every, reps, partial.block_metas(members), _total_blocks(base))
+    after = costs.select("query_id", (F.col("layout_id") - 1).alias("layout_id"), F.col("cost").alias("other"))
+    return costs.join(after, ["query_id", "layout_id"]).groupBy("layout_id").agg(V.round6(F.avg(F.abs(F.col("cost") - F.col("other")))).alias("distance"))
 
 
 def knn_single_topk(spark, root):
@@ -261,11 +258,14 @@ _WALK = (
 )
 _GREEDY = _WALK.format(families=_FAMILIES.replace("with ", "with recursive ", 1), best="query_cost + 0.01 * movement_cost", move="b.query_cost + 0.01 * b.movement_cost + 0.1 < a.query_cost + 0.01 * a.movement_cost")
 _STICKY = _WALK.format(families=_FAMILIES.replace("with ", "with recursive ", 1), best="query_cost + movement_cost", move="b.layout_label <> a.layout_label and a.query_cost - b.query_cost > 0.1")
-_COSTS = "costs as (select w as window_id, s as state, coalesce(c, 0) as cost from range(30) a(w), range(4) b(s) left join (select event_id // 20 as w2, user_id % 4 as s2, round(sum(abs(value)), 6) as c from events where event_id < 600 group by 1, 2) on w2 = w and s2 = s)"
+_COSTS = "ends as (select min(event_id // 20) as lo, max(event_id // 20) as hi from events), costs as (select w as window_id, s as state, coalesce(c, 0) as cost from (select unnest(generate_series(lo, hi)) as w from ends) a cross join (select unnest(range(4)) as s) b left join (select event_id // 20 as w2, user_id % 4 as s2, round(sum(abs(value)), 6) as c from events group by 1, 2) on w2 = w and s2 = s), piv as (select window_id, list(cost order by state) as c from costs group by 1)"
 
 
-def _profile(layout: int) -> str:
-    return f"(select query_id, case when count(*) filter (abs((dmin + dmax) * 0.5 - dq) <= r + 1e-12) = 0 then 1.0 else count(*) filter (abs((dmin + dmax) * 0.5 - dq) <= r + 1e-12) / 32.0 end as cost from (select qs.query_id, window_id as layout_id, round(list_distance(q, rep), 9) as dq from qs, rep where window_id = {layout}) x join metas using (layout_id) join rad using (layout_id) group by 1)"
+_PROFILES = (
+    "far as (select qs.query_id, window_id as layout_id, round(list_distance(q, rep), 9) as dq from qs, rep), "
+    "hits as (select query_id, layout_id, count(*) filter (abs((dmin + dmax) * 0.5 - dq) <= r + 1e-12) as h from far join metas using (layout_id) join rad using (layout_id) group by 1, 2), "
+    f"prof as (select query_id, layout_id, case when h = 0 then 1.0 else h / ceil(n / {CAPACITY}::double) end as cost from hits, n)"
+)
 
 
 ORACLES = {
@@ -281,14 +281,18 @@ ORACLES = {
     "partial_search": f"{_P}, {_SEARCH} select query_id, layout_id, array_to_string(nb, ' ') as neighbours, candidates, touched from found",
     "partial_fallback_summary": f"{_P}, {_SEARCH}, k as (select query_id, list(vec_id) as full from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(q, v), 9), vec_id) as r from qs, base) where r <= 10 group by 1), u as (select layout_id, touched or len(nb) < 10 as fb, case when touched or len(nb) < 10 then 1.0 else len(list_intersect(nb, k.full)) / len(k.full)::double end as rc from found join k using (query_id)) select layout_id as window_id, count(*) as query_count, count(*) filter (fb) as fallback_count, round(avg(rc), 6) + 0.0 as mean_recall from u group by 1",
     "dis_block_meta": f"{_DIS} select block_id, round(dmin, 6) + 0.0 as dmin, round(dmax, 6) + 0.0 as dmax, size from metas",
-    "dis_read_fraction": f"{_DIS}, sm as (select * from base where vec_id < 100), rad as (select round(avg(d), 9) as r from (select a.vec_id, min(list_distance(a.v, b.v)) as d from sm a, sm b where a.vec_id <> b.vec_id group by 1)), aq as (select query_id, round(list_distance(q, c), 9) as d from qs, c) select query_id, count(dmin) as blocks, round(coalesce(sum(size), 0) / (select count(*) from base), 6) + 0.0 as fraction from aq cross join rad left join metas on dmax >= greatest(0.0, d - r) and dmin <= d + r group by query_id",
+    "dis_read_fraction": f"{_DIS}, rad as (select avg(d) as r from (select a.vec_id, min(list_distance(a.v, b.v)) as d from base a, base b where a.vec_id <> b.vec_id group by 1)), aq as (select query_id, round(list_distance(q, c), 9) as d from qs, c) select query_id, count(dmin) as blocks, round(coalesce(sum(size), 0) / (select count(*) from base), 6) + 0.0 as fraction from aq cross join rad left join metas on dmax >= greatest(0.0, d - r) and dmin <= d + r group by query_id",
     "layout_families_proxy": f"{_FAMILIES} select window_id, candidate_id, layout_label, round(query_cost, 6) + 0.0 as query_cost, round(movement_cost, 6) + 0.0 as movement_cost from fam",
     "switch_greedy": f"{_GREEDY} select * from events",
     "switch_sticky": f"{_STICKY} select * from events",
     "replay_summary": f"{_STICKY} select round(sum(query_cost), 6) as total_query_cost, round(sum(movement_cost), 6) as total_movement_cost, round(sum(query_cost + movement_cost), 6) as total_cost, count(*) filter (switched) as switch_count, count(*) as window_count from events",
     "schedule_tables": f"select query_id // {WINDOW} as window_id, 'demo_window_' || (query_id // {WINDOW}) as layout, 'demo_window_' || (query_id // {WINDOW}) || '_ivfflat' as table_name from (select vec_id // 10 as query_id from embeddings where vec_id % 10 = 0) group by query_id // {WINDOW}",
-    "wfa_trace": f"with recursive {_COSTS}, piv as (select window_id, list(cost order by state) as c from costs group by 1), walk as (select 0::bigint as window_id, list_transform(c, lambda x, i: x + case when i = 1 then 0.0 else 50.0 end) as o from piv where window_id = 0 union all select piv.window_id, list_transform(c, lambda x, i: x + least(o[i], list_min(o) + 50.0)) from walk join piv on piv.window_id = walk.window_id + 1), un as (select window_id, cast(generate_subscripts(o, 1) - 1 as bigint) as state, unnest(o) as work from walk) select window_id, state, round(work, 6) + 0.0 as work, row_number() over (partition by window_id order by round(work, 9), state) = 1 as best from un",
-    "cost_profile_distance": f"{_P}, {_GAPS} select round(avg(abs(a.cost - b.cost)), 6) + 0.0 as distance from {_profile(0)} a join {_profile(1)} b using (query_id)",
+    "wfa_trace": f"with recursive {_COSTS}, walk as (select window_id, list_transform(c, lambda x, i: x + case when i = 1 then 0.0 else 50.0 end) as o from piv where window_id = (select lo from ends) union all select piv.window_id, list_transform(c, lambda x, i: x + least(o[i], list_min(o) + 50.0)) from walk join piv on piv.window_id = walk.window_id + 1), un as (select window_id, cast(generate_subscripts(o, 1) - 1 as bigint) as state, unnest(o) as work from walk) select window_id, state, round(work, 6) + 0.0 as work, row_number() over (partition by window_id order by round(work, 9), state) = 1 as best from un",
+    "regret_trace": f"with recursive {_COSTS}, walk as (select lo - 1 as window_id, 0::bigint as state, [0.0, 0.0, 0.0, 0.0]::double[] as t, false as switched from ends union all "
+    "select window_id, coalesce(f, cur) as state, case when f is null then list_transform(t, lambda x, i: x + c[i]) else [0.0, 0.0, 0.0, 0.0]::double[] end as t, f is not null as switched from "
+    "(select piv.window_id, walk.state as cur, t, c, list_filter(range(4), lambda s: s <> walk.state and t[walk.state + 1] + case when walk.state < s then c[walk.state + 1] else 0 end - t[s + 1] - c[s + 1] >= 100.0)[1] as f from walk join piv on piv.window_id = walk.window_id + 1)) "
+    "select window_id, state, switched from walk where window_id >= (select lo from ends)",
+    "cost_profile_distance": f"{_P}, {_GAPS}, {_PROFILES} select a.layout_id, round(avg(abs(a.cost - b.cost)), 6) + 0.0 as distance from prof a join prof b on a.query_id = b.query_id and b.layout_id = a.layout_id + 1 group by 1",
     "knn_single_topk": f"with {BASE}, {QUERIES_CTE} select vec_id, round(list_distance(q, v), 6) + 0.0 as distance from base, qs where query_id = 0 order by round(list_distance(q, v), 9), vec_id limit 10",
     "knn_ground_truth_recall": f"with {BASE}, {QUERIES_CTE}, t as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(q, v), 9), vec_id) as r from qs, base) where r <= 10), h as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(q, v), 9), vec_id) as r from qs, base where vec_id % 2 = 0) where r <= 10) select t.query_id, count(h.vec_id) as hits, round(count(h.vec_id) / 10.0, 6) as recall from t left join h on t.query_id = h.query_id and t.vec_id = h.vec_id group by 1",
     "ivf_probe_knn": f"with {BASE}, {QUERIES_CTE}, {CENTRES}, {NEAREST}, pr as (select query_id, q, cid from (select query_id, q, cid, row_number() over (partition by query_id order by round(list_distance(q, c), 9), cid) as r from qs, cent) where r <= 2), d as (select query_id, vec_id, list_distance(q, v) as distance from pr join near using (cid)), r as (select *, row_number() over (partition by query_id order by round(distance, 9), vec_id) as rank from d) select query_id, cast(rank as bigint) as rank, vec_id, round(distance, 6) + 0.0 as distance from r where rank <= 10",

@@ -6,9 +6,10 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,35 +35,70 @@ def table_family(name: str) -> dict[str, str]:
 
 
 def save_family(layout: DataFrame, base: DataFrame, name: str, cells: DataFrame | None = None) -> dict[str, str]:
-    """The layout as a catalog table in physical order and, with (vec_id, cid) cells, its probe table partitioned by cell."""
+    """The layout as a catalog table in physical order and, with (vec_id, cid) cells, its probe table partitioned by cell.
+
+    The third table of the family, of a graph index, is a copy in the same order: there is no graph index here.
+    """
     family = table_family(name)
     rows = layout.join(base, "vec_id").select("vec_id", "v", F.col("pos").alias("num"))
-    rows.repartitionByRange("num").sortWithinPartitions("num").write.mode("overwrite").saveAsTable(family["base"])
+    for name in (family["base"], family["hnsw"]):
+        rows.repartitionByRange("num").sortWithinPartitions("num").write.mode("overwrite").saveAsTable(name)
     if cells is not None:
         rows.join(cells.select("vec_id", "cid"), "vec_id").repartition("cid").write.mode("overwrite").partitionBy("cid").saveAsTable(family["ivfflat"])
     return family
 
 
-def _pages(layout: DataFrame) -> Iterator[list[int]]:
-    """Members of each page in order; a page at a time is on the driver."""
-    page: list[int] = []
-    at = 0
-    for r in layout.select("page_id", "pos", "vec_id").orderBy("page_id", "pos").toLocalIterator():
-        if r["page_id"] != at and page:
-            yield page
-            page = []
-        at = r["page_id"]
-        page.append(r["vec_id"])
-    if page:
-        yield page
+# --- binary artifacts: executors encode, the driver copies bytes from one part after the other ---------------------
+
+
+class _Out:
+    """A file on the driver, or in any file system that Spark knows."""
+
+    def __init__(self, spark, path: str):
+        self._file = self._stream = None
+        if "://" in path and not path.startswith("file://"):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            self._stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+        else:
+            self._file = open(path.removeprefix("file://"), "wb")
+
+    def __enter__(self) -> _Out:
+        return self
+
+    def write(self, raw: bytes) -> None:
+        (self._file or self._stream).write(bytearray(raw) if self._stream else raw)
+
+    def __exit__(self, *_) -> None:
+        (self._file or self._stream).close()
+
+
+def _encoded(rows: DataFrame, order: list[str], encode: Callable[[pa.RecordBatch], bytes]) -> Iterator[bytes]:
+    """The rows' bytes in the order of the columns: ranges of the first column are sorted and encoded by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encode(batch)], pa.binary())], ["raw"])
+
+    dealt = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    return (bytes(r["raw"]) for r in dealt.mapInArrow(run, "raw binary").toLocalIterator())
+
 
+def _u32(column: str) -> Callable[[pa.RecordBatch], bytes]:
+    return lambda batch: batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False).astype("<u4").tobytes()
 
-def _ids(values: Iterable[int]) -> bytes:
-    return np.asarray(list(values), "<u4").tobytes()
 
+def _lists(batch: pa.RecordBatch) -> bytes:
+    """A count and the ids of each list."""
+    return b"".join(struct.pack("<I", len(ids)) + np.asarray(ids, "<u4").tobytes() for ids in batch.column(1).to_pylist())
 
-def _inverse(layout: DataFrame) -> Iterator[int]:
-    return (r["page_id"] for r in layout.select("vec_id", "page_id").orderBy("vec_id").toLocalIterator())
+
+def _pages(layout: DataFrame) -> Iterator[bytes]:
+    pages = layout.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "vec_id"))).alias("m"))  # a page has its capacity
+    return _encoded(pages.select("page_id", F.col("m.vec_id").alias("ids")), ["page_id"], _lists)
+
+
+def _inverse(layout: DataFrame) -> Iterator[bytes]:
+    return _encoded(layout.select("vec_id", "page_id"), ["vec_id"], _u32("page_id"))
 
 
 def _shape(layout: DataFrame) -> tuple[int, int]:
@@ -70,63 +106,59 @@ def _shape(layout: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["p"] or 0)
 
 
+def _write(spark, path: str, *parts: bytes | Iterator[bytes]) -> None:
+    with _Out(spark, path) as out:
+        for part in parts:
+            for raw in (part,) if isinstance(part, bytes) else part:
+                out.write(raw)
+
+
 def write_partition_bin(layout: DataFrame, path: str, capacity: int) -> None:
     """uint64 capacity, pages, vectors; a uint32 count and the ids of each page; each id's page."""
     n, pages = _shape(layout)
-    with open(path, "wb") as out:
-        out.write(struct.pack("<QQQ", capacity, pages, n))
-        for page in _pages(layout):
-            out.write(struct.pack("<I", len(page)) + _ids(page))
-        out.write(_ids(_inverse(layout)))
+    _write(layout.sparkSession, path, struct.pack("<QQQ", capacity, pages, n), _pages(layout), _inverse(layout))
 
 
 def write_id_map(layout: DataFrame, path: str) -> None:
     """int32 vectors and 1, then the old id at each position."""
-    with open(path, "wb") as out:
-        out.write(struct.pack("<ii", layout.count(), 1))
-        out.write(_ids(r["vec_id"] for r in layout.select("vec_id", "pos").orderBy("pos").toLocalIterator()))
+    _write(layout.sparkSession, path, struct.pack("<ii", layout.count(), 1), _encoded(layout.select("pos", "vec_id"), ["pos"], _u32("vec_id")))
 
 
 def write_page_groups(layout: DataFrame, path: str, capacity: int) -> None:
     """uint64 pages and capacity, each page with its length, uint64 vectors and each id's page."""
     n, pages = _shape(layout)
-    with open(path, "wb") as out:
-        out.write(struct.pack("<QQ", pages, capacity))
-        for page in _pages(layout):
-            out.write(struct.pack("<I", len(page)) + _ids(page))
-        out.write(struct.pack("<Q", n) + _ids(_inverse(layout)))
+    _write(layout.sparkSession, path, struct.pack("<QQ", pages, capacity), _pages(layout), struct.pack("<Q", n), _inverse(layout))
 
 
 def write_assignment(layout: DataFrame, path: str) -> None:
     """uint64 vectors and pages, then each id's page."""
-    n, pages = _shape(layout)
-    with open(path, "wb") as out:
-        out.write(struct.pack("<QQ", n, pages) + _ids(_inverse(layout)))
+    _write(layout.sparkSession, path, struct.pack("<QQ", *_shape(layout)), _inverse(layout))
 
 
 def write_posting_order(postings: DataFrame, path: str) -> None:
     """uint64 postings, their ids in order, their scores as float64."""
-    rows = postings.orderBy("ord").select("posting_id", "score").collect()  # a row a posting
-    with open(path, "wb") as out:
-        out.write(struct.pack("<Q", len(rows)) + _ids(r["posting_id"] for r in rows))
-        out.write(np.asarray([r["score"] for r in rows], "<f8").tobytes())
+    rows = postings.select("ord", "posting_id", "score")
+    scores = _encoded(rows, ["ord"], lambda batch: batch.column(2).to_numpy(zero_copy_only=False).astype("<f8").tobytes())
+    _write(postings.sparkSession, path, struct.pack("<Q", postings.count()), _encoded(rows, ["ord"], _u32("posting_id")), scores)
 
 
 def write_vector_to_posting(members: DataFrame, path: str) -> None:
     """uint64 vectors, then each id's posting."""
-    with open(path, "wb") as out:
-        out.write(struct.pack("<Q", members.count()))
-        out.write(_ids(r["posting_id"] for r in members.select("vec_id", "posting_id").orderBy("vec_id").toLocalIterator()))
+    _write(members.sparkSession, path, struct.pack("<Q", members.count()), _encoded(members.select("vec_id", "posting_id"), ["vec_id"], _u32("posting_id")))
 
 
-def write_posting_pages(postings: DataFrame, path: str, capacity: int) -> None:
-    """uint64 pages and capacity, then the posting ids of each page with their count, in posting order."""
-    ids = [r["posting_id"] for r in postings.orderBy("ord").select("posting_id").collect()]  # a row a posting
-    pages = [ids[i : i + capacity] for i in range(0, len(ids), capacity)]
-    with open(path, "wb") as out:
-        out.write(struct.pack("<QQ", len(pages), capacity))
-        for page in pages:
-            out.write(struct.pack("<I", len(page)) + _ids(page))
+def posting_lists(postings: DataFrame, members: DataFrame, layout: DataFrame) -> DataFrame:
+    """(ord, ids): the vectors of each posting by their positions, postings in their order; a posting's list is bounded by its index."""
+    rows = members.join(layout.select("vec_id", "pos"), "vec_id").join(postings.select("posting_id", "ord"), "posting_id")
+    grouped = rows.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("pos", "vec_id"))).alias("m"))
+    return grouped.select("ord", F.col("m.vec_id").alias("ids"))
+
+
+def write_posting_pages(lists: DataFrame, path: str, capacity: int | None = None) -> None:
+    """The vector ids of each posting with their count, after uint64 postings and, where given, the capacity."""
+    n = lists.count()
+    head = struct.pack("<Q", n) if capacity is None else struct.pack("<QQ", n, capacity)
+    _write(lists.sparkSession, path, head, _encoded(lists.select("ord", "ids"), ["ord"], _lists))
 
 
 def write_manifest(layout: DataFrame, path: str, capacity: int, system: str, access: DataFrame | None = None, **names) -> dict:
@@ -140,26 +172,26 @@ def write_manifest(layout: DataFrame, path: str, capacity: int, system: str, acc
     return out
 
 
+def _vectors(rows: DataFrame, vector: str, kind: str, headed: bool) -> Iterator[bytes]:
+    def encode(batch: pa.RecordBatch) -> bytes:
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
+        if not headed:
+            return x.tobytes()
+        head = np.full((len(x), 1), x.shape[1], "<i4")
+        return np.hstack([head.view(np.uint8), np.ascontiguousarray(x).view(np.uint8)]).tobytes()
+
+    return _encoded(rows.select("vec_id", vector), ["vec_id"], encode)
+
+
 def write_vecs(rows: DataFrame, path: str, vector: str = "embedding", kind: str = "<f4") -> None:
-    """fvecs (or ivecs with kind '<i4') in the order of vec_id; rows pass through the driver one by one."""
-    with open(path, "wb") as out:
-        for r in rows.select("vec_id", vector).orderBy("vec_id").toLocalIterator():
-            x = np.asarray(r[vector], kind)
-            out.write(struct.pack("<i", len(x)) + x.tobytes())
+    """fvecs (or ivecs with kind '<i4') in the order of vec_id: each vector's length and its values."""
+    _write(rows.sparkSession, path, _vectors(rows, vector, kind, True))
 
 
 def write_xbin(rows: DataFrame, path: str, vector: str = "embedding", kind: str = "<f4") -> None:
     """uint32 count and length, then the values in the order of vec_id."""
-    n = rows.count()
-    with open(path, "wb") as out:
-        out.write(struct.pack("<II", n, 0))
-        dims = 0
-        for r in rows.select("vec_id", vector).orderBy("vec_id").toLocalIterator():
-            x = np.asarray(r[vector], kind)
-            dims = len(x)
-            out.write(x.tobytes())
-        out.seek(0)
-        out.write(struct.pack("<II", n, dims))
+    shape = rows.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
+    _write(rows.sparkSession, path, struct.pack("<II", shape["n"], shape["d"] or 0), _vectors(rows, vector, kind, False))
 
 
 _WRITERS = {"partition": write_partition_bin, "page_groups": write_page_groups}

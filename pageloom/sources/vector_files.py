@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import io
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _XBIN = {"fbin": "<f4", "u8bin": "u1", "i8bin": "i1", "ibin": "<i4"}
@@ -36,48 +38,98 @@ def read_vecs(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return spark.createDataFrame(records.map(parse), f"vec_id long, embedding array<{name}>")
 
 
-def _whole(spark: SparkSession, path: str) -> bytes:
-    return spark.read.format("binaryFile").load(path).select("content").first()[0]
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file in any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.read() & 255 for _ in range(n))
+    finally:
+        stream.close()
+
+
+def _sliced(spark: SparkSession, path: str, offset: int, n: int, dims: int, kind: str) -> DataFrame:
+    """(vec_id, embedding) of n rows of fixed size that begin at an offset: slices of a thousand rows, each read by a task of its own."""
+    width = dims * np.dtype(kind).itemsize
+    name = "int" if kind == "<i4" else "float"
+    if "://" in path and not path.startswith("file://"):
+        # not on the workers' disks: fixed-size records of the whole file, cut anew
+        content = spark.read.format("binaryFile").load(path).select("content")
+
+        def cut(batches):
+            for batch in batches:
+                for raw in batch.column(0):
+                    x = np.frombuffer(raw.as_py(), kind, n * dims, offset).reshape(n, dims)
+                    yield from _rows_of(x, 0, name)
+
+        return content.mapInArrow(cut, f"vec_id long, embedding array<{name}>")
+    local = path.removeprefix("file://")
+
+    def run(batches):
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                many = min(1000, n - first)
+                with open(local, "rb") as file:
+                    file.seek(offset + first * width)
+                    x = np.frombuffer(file.read(many * width), kind).reshape(many, dims)
+                yield from _rows_of(x, first, name)
+
+    starts = spark.range(0, n, 1000, max(1, min(-(-n // 1000), 8 * spark.sparkContext.defaultParallelism)))
+    return starts.mapInArrow(run, f"vec_id long, embedding array<{name}>")
+
+
+def _rows_of(x: np.ndarray, first: int, name: str):
+    flat = pa.array(np.ascontiguousarray(x, "<i4" if name == "int" else "<f4").ravel())
+    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(x))), pa.ListArray.from_arrays(ends, flat)], ["vec_id", "embedding"])
 
 
 def read_xbin(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(vec_id, embedding) of .fbin, .u8bin, .i8bin or .ibin: count and length, then the values. Files up to 2 GB."""
-    raw = _whole(spark, path)
-    n, dims = struct.unpack_from("<II", raw)
-    n = min(n, limit) if limit is not None else n
-    ending = path.rsplit(".", 1)[-1]
-    x = np.frombuffer(raw, _XBIN[ending], n * dims, 8).reshape(n, dims)
-    kind = "int" if ending == "ibin" else "float"
-    rows = [(i, r) for i, r in enumerate((x if kind == "int" else x.astype(np.float32)).tolist())]
-    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
-
-
-def read_csv_vectors(spark: SparkSession, path: str, header: bool = True, dims: int | None = None, sep: str = ",", glob: str | None = None) -> DataFrame:
-    """(vec_id, embedding) of CSV with an id column first, or without header and id (ids are then row numbers of one file order).
-
-    With a header, vectors are the columns v0, v1, ... or all after the id; the first column must be `id`. Other
-    columns (score, is_selected, cluster_label) are kept by name.
+    """(vec_id, embedding) of .fbin, .u8bin, .i8bin or .ibin: count and length, then the values; `limit` rows if given."""
+    n, dims = struct.unpack("<II", _head(spark, path, 8))
+    return _sliced(spark, path, 8, min(n, limit) if limit is not None else n, dims, _XBIN[path.rsplit(".", 1)[-1]])
+
+
+def read_csv_vectors(spark: SparkSession, path: str, header: bool = True, dims: int | None = None, sep: str = ",", glob: str | None = None, id_column: bool = True) -> DataFrame:
+    """(vec_id, embedding) of CSV files, with the id first or without ids.
+
+    With a header, vectors are the columns v0, v1, ... or all after the id, the first `dims` of them; other columns
+    (score, is_selected, cluster_label) are kept by name. Without ids, or without a header, ids are row numbers from 0
+    through all files, in the order of their names and lines. A row with another number of values is an error.
     """
-    reader = spark.read.option("header", header).option("sep", sep).option("inferSchema", False)
+    reader = spark.read.option("header", header).option("sep", sep).option("inferSchema", False).option("mode", "FAILFAST")
     rows = (reader.option("pathGlobFilter", glob) if glob else reader).csv(path)
-    if not header:
-        names = rows.columns[:dims] if dims else rows.columns
-        numbered = rows.withColumn("vec_id", F.monotonically_increasing_id())
-        return numbered.select("vec_id", F.array(*[F.col(c).cast("float") for c in names]).alias("embedding"))
-    if rows.columns[0] != "id":
+    with_id = header and id_column
+    if with_id and rows.columns[0] != "id":
         raise ValueError("the first column is not id")
-    named = [c for c in rows.columns if c[0] == "v" and c[1:].isdigit()]
-    vector = sorted(named, key=lambda c: int(c[1:])) or rows.columns[1:]
-    vector = vector[:dims] if dims else vector
-    extra = [c for c in rows.columns[1:] if c not in vector]
-    return rows.select(F.col("id").cast("long").alias("vec_id"), F.array(*[F.col(c).cast("float") for c in vector]).alias("embedding"), *extra)
+    given = rows.columns[1:] if with_id else rows.columns
+    named = [c for c in given if c[0] == "v" and c[1:].isdigit()] if header else []
+    vector = sorted(named, key=lambda c: int(c[1:])) or given
+    if dims is not None and len(vector) < dims:
+        raise ValueError(f"there are {len(vector)} values a row, not {dims}")
+    extra = [c for c in given if c not in vector] if header else []
+    value = F.array(*[F.col(f"`{c}`").cast("float") for c in vector[:dims]]).alias("embedding")
+    if with_id:
+        return rows.select(F.col("id").cast("long").alias("vec_id"), value, *extra)
+    # a row's place: its part, and its place there; the rows of the parts before it are counted
+    placed = rows.select(value, *extra, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    counts = placed.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row a part of a file
+    starts = counts.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    met = placed.join(F.broadcast(starts), ["file", "block"])
+    return met.select((F.col("before") + F.col("place") - F.col("first")).alias("vec_id"), "embedding", *extra)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    x = np.load(io.BytesIO(_whole(spark, path)))
-    if x.ndim != 2:
-        raise ValueError("not a matrix")
-    return spark.createDataFrame([(i, r) for i, r in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    """(vec_id, embedding) of a matrix in C order."""
+    head = io.BytesIO(_head(spark, path, 12))
+    version = np.lib.format.read_magic(head)
+    size = struct.unpack("<H", head.read(2))[0] if version == (1, 0) else struct.unpack("<I", head.read(4))[0]
+    begin = 8 + (2 if version == (1, 0) else 4)
+    spec = ast.literal_eval(_head(spark, path, begin + size)[begin:].decode("latin1"))
+    if len(spec["shape"]) != 2 or spec["fortran_order"]:
+        raise ValueError("not a matrix in C order")
+    return _sliced(spark, path, begin + size, *spec["shape"], spec["descr"])
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:

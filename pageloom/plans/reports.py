@@ -148,7 +148,7 @@ def layout_pool(spark, root):
 
 def redundant_states(spark, root):
     *_, profiles = _profiles(spark, root)
-    found = partial.redundant_pairs(profiles, epsilon=0.2)
+    found = partial.redundant_pairs(profiles, epsilon=0.5)
     return found.select("layout_id", "other_id", V.round6(F.col("distance")).alias("distance"))
 
 
@@ -221,6 +221,6 @@ ORACLES = {
     "markov_workload": f"with recursive u as (select unnest(range(200)) as i), w as (select 0::bigint as query_id, 0::bigint as template union all select query_id + 1, case when {_U.format(id='(query_id + 1)', seed=7)} < 0.6 then template else (template + 1 + cast(floor({_U.format(id='(query_id + 1)', seed=8)} * 4) as bigint)) % 5 end from w where query_id < 199) select query_id, template from w",
     "random_predicates": f"with e as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem), q as (select unnest(range(30)) as query_id), r as (select query_id, lo + {_U.format(id='query_id', seed=3)} * (hi - lo) * 0.8 as a, (hi - lo) * 0.2 as w from q, e) select query_id, round(a, 6) + 0.0 as lo, round(a + w, 6) + 0.0 as hi from r",
     "layout_pool": f"{_POOL} select layout_id, accepted, round(nearest, 6) + 0.0 as nearest from pool where i > 0",
-    "redundant_states": f"{W._P}, {W._GAPS}, {W._PROFILES} select a.layout_id, b.layout_id as other_id, round(avg(abs(a.cost - b.cost)), 6) + 0.0 as distance from prof a join prof b on a.query_id = b.query_id and a.layout_id < b.layout_id group by 1, 2 having round(avg(abs(a.cost - b.cost)), 9) < 0.2",
+    "redundant_states": f"{W._P}, {W._GAPS}, {W._PROFILES} select a.layout_id, b.layout_id as other_id, round(avg(abs(a.cost - b.cost)), 6) + 0.0 as distance from prof a join prof b on a.query_id = b.query_id and a.layout_id < b.layout_id group by 1, 2 having round(avg(abs(a.cost - b.cost)), 9) < 0.5",
     "pooled_families": f"{_POOLED} select window_id, candidate_id, layout_label, round(query_cost, 6) + 0.0 as query_cost, movement_cost from fam",
 }

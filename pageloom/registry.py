@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("knn", "vectors", "layouts", "workload", "predicates", "transforms", "variants", "sweeps", "reports", "streams")
+MODULES: tuple[str, ...] = ("knn", "vectors", "layouts", "workload", "predicates", "transforms", "variants", "sweeps", "reports", "files", "streams")
 
 
 def _modules():

@@ -60,7 +60,9 @@ class _Out:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             self._stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
         else:
-            self._file = open(path.removeprefix("file://"), "wb")
+            path = path.removeprefix("file://")
+            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+            self._file = open(path, "wb")
 
     def __enter__(self) -> _Out:
         return self
@@ -167,8 +169,7 @@ def write_manifest(layout: DataFrame, path: str, capacity: int, system: str, acc
     head = [r["vec_id"] for r in layout.where("pos < 32").orderBy("pos").select("vec_id").collect()]
     top = [] if access is None else [[r["vec_id"], r["access_score"]] for r in access.where("access_score > 0").orderBy(F.desc("access_score"), "vec_id").limit(32).collect()]
     out = {"system": system, "num_vectors": n, "num_pages": pages, "page_capacity": capacity, "permutation_head": head, "top_access": top, **names}
-    with open(path, "w") as f:
-        json.dump(out, f, indent=2)
+    _write(layout.sparkSession, path, json.dumps(out, indent=2).encode())
     return out
 
 

@@ -72,12 +72,18 @@ class CounterState:
     def __init__(self, alpha: float, seed: int):
         if alpha <= 0:
             raise ValueError("alpha is positive")
-        self.alpha, self.rng = alpha, np.random.default_rng(seed)
+        self.alpha, self.seed, self.seen = alpha, seed, 0
         self.counter: dict[str, float] = {}
         self.current: str | None = None
 
+    def _draw(self, weight: np.ndarray) -> int:
+        """A place with probability by weight, from a hash of how many windows there were: runs can be repeated and resumed."""
+        u = ((self.seen * 2654435761 + self.seed * 40503) % 1000003 + 1) / 1000005.0
+        return int(np.searchsorted(np.cumsum(weight), u * weight.sum()))
+
     def window(self, options: list[tuple[str, str, float]]) -> tuple[str, float, bool]:
         """(candidate, query cost, switched) for one window's (candidate, state, cost)."""
+        self.seen += 1
         for _, state, cost in options:
             self.counter[state] = self.counter.get(state, 0.0) + cost
         states = {state: (name, cost) for name, state, cost in options}
@@ -88,7 +94,7 @@ class CounterState:
         if self.counter[before] > self.alpha:
             weight = np.array([max(0.0, (self.alpha - self.counter[s]) / self.alpha) for _, s, _ in options])
             if weight.sum() > 0:
-                self.current = options[int(self.rng.choice(len(options), p=weight / weight.sum()))][1]
+                self.current = options[self._draw(weight)][1]
             else:
                 self.current = min(options, key=lambda o: (self.counter[o[1]], o[0]))[1]
             if self.current != before:

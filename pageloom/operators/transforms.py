@@ -6,13 +6,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
-from pageloom.operators import stats
+from pageloom.operators import matching, stats
 
 
 def eigen(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,51 +141,9 @@ def gravity(rows: DataFrame, vector: str, anchors: np.ndarray, k: int = 3, t: fl
     return mapped(rows, vector, lambda x: towards_selves(x, anchors, dc, k, t), *keep)
 
 
-def assign_blocks(rows: DataFrame, centres: np.ndarray, capacity: int, nearest: int = 5, limit: int = 20_000_000) -> DataFrame:
-    """(vec_id, cid): blocks of at most `capacity`, pairs of vector and near centre taken by distance.
-
-    Candidate pairs are found in parallel; taking them in order is sequential, so their number is checked against
-    `limit` (about a gigabyte on the driver). Beyond it split the vectors by a coarser clustering first.
-    """
-    s = min(nearest, len(centres))
-
-    def run(batches):
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            d = _distances(x, centres)
-            near = np.argsort(d, 1, kind="stable")[:, :s]
-            ids = np.repeat(np.asarray(batch.column(0)), s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.ravel().astype(np.int32)), pa.array(np.take_along_axis(d, near, 1).ravel())], ["vec_id", "cid", "d"])
-
-    pairs = rows.select("vec_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, cid int, d double")
-    n = rows.count()
-    if n * s > limit:
-        raise ValueError(f"{n * s} candidate pairs exceed {limit}")
-    got = pairs.orderBy(F.round("d", 9), "vec_id", "cid").toPandas()
-    room, placed = np.full(len(centres), capacity), {}
-    for i, c in zip(got["vec_id"].tolist(), got["cid"].tolist(), strict=True):
-        if i not in placed and room[c]:
-            placed[i] = c
-            room[c] -= 1
-    spark = rows.sparkSession
-
-    def labels() -> DataFrame:
-        return spark.createDataFrame(pd.DataFrame({"vec_id": list(placed), "cid": list(placed.values())}), "vec_id long, cid int")
-
-    if len(placed) < n:
-        missing = rows.join(labels(), "vec_id", "left_anti")
-        left = missing.select("vec_id", "v").toPandas().sort_values("vec_id")
-        x, open_now = np.array(left["v"].tolist()), room > 0
-        d = _distances(x, centres)
-        todo = list(range(len(left)))
-        while todo:
-            view = np.where(open_now[None], d[todo], np.inf)
-            i, c = np.unravel_index(int(view.argmin()), view.shape)
-            placed[int(left["vec_id"].iloc[todo[i]])] = int(c)
-            room[c] -= 1
-            open_now[c] = room[c] > 0
-            todo.pop(i)
-    return labels()
+def assign_blocks(rows: DataFrame, centres: np.ndarray, capacity: int, nearest: int = 5) -> DataFrame:
+    """(vec_id, cid): blocks of at most `capacity`, pairs of vector and near centre taken by distance, in rounds on the executors."""
+    return matching.blocks_of_capacity(rows, centres, capacity, nearest)
 
 
 def kmeans_centres(rows: DataFrame, k: int, seed: int = 42) -> np.ndarray:

@@ -5,16 +5,14 @@ Centres come from a function of the transformed rows: k-means, or anything that
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
-from pageloom.operators import blocks, orders, stats, transforms
-from pageloom.operators.ranking import ranked
+from pageloom.operators import blocks, matching, orders, stats, transforms
 from pageloom.sources.scratch import stored
 
 Centres = Callable[[DataFrame], DataFrame]
@@ -100,58 +98,21 @@ def spread_sizes(n: int, k: int) -> list[int]:
     return [n // k + (i < n % k) for i in range(k)]
 
 
-def _preferences(rows: DataFrame, keys: np.ndarray, c: np.ndarray) -> DataFrame:
-    """(vec_id, ord, prefs): the places of the centres by distance, and the place in the order in which vectors choose."""
-    shared = rows.sparkSession.sparkContext.broadcast(c)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = blocks.matrix(part.column(1))
-                d = np.stack([np.sqrt(((x - own) ** 2).sum(1)) for own in shared.value], axis=1)
-                order = np.argsort(np.round(d, 9), axis=1, kind="stable").astype(np.int32)
-                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(order.ravel()))], ["vec_id", "prefs"])
-
-    found = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, prefs array<int>")
-    # the scattered order, ties to the smaller id
-    return found.select("vec_id", F.struct(((F.col("vec_id") * 2654435761) % (1 << 32)).alias("h"), "vec_id").alias("ord"), "prefs")
-
-
-def _admits(bounds: Column) -> Callable[[Column], Column]:
-    return lambda p: F.get(bounds, p).isNull() | (F.col("ord") <= F.get(bounds, p))
-
-
 def equal_size_labels(rows: DataFrame, centres: DataFrame, sizes: list[int] | None = None) -> DataFrame:
     """(vec_id, cid): vectors, in a scattered order, take their nearest centre that has room.
 
-    The same result as one vector after the other, found in rounds. A centre's bound is the last vector it takes. In a
-    round every vector applies to its best centre whose bound it does not pass, and a centre with more applicants than
-    room lowers its bound to the last it has room for. As all centres prefer the earlier vector, whoever passes a bound
-    would not have had a place. Only the bounds come to the driver, one a centre. Sizes add up to the rows at least
-    (equal, the remainder over the first centres, if not given).
+    Sizes add up to the rows at least (equal, the remainder over the first centres, if not given).
     """
     keys, c = blocks.held(centres, "cid", "c")  # as many as clusters
     n = rows.count()
-    room = list(sizes or spread_sizes(n, len(keys)))
-    if sum(room) < n:
+    room = np.array(sizes or spread_sizes(n, len(keys)))
+    if room.sum() < n:
         raise ValueError("the clusters have less room than there are vectors")
-    prefs = stored(_preferences(rows, keys, c), "equal-size")
-    bounds: list[tuple[int, int] | None] = [None if r else (-1, -1) for r in room]
-    ends = "struct<h:bigint,vec_id:bigint>"
-    while True:
-        held = F.array(*[F.lit(None).cast(ends) if b is None else F.struct(F.lit(b[0]).cast("long").alias("h"), F.lit(b[1]).cast("long").alias("vec_id")) for b in bounds])
-        applied = prefs.select("vec_id", "ord", F.get(F.filter("prefs", _admits(held)), F.lit(0)).alias("at"))
-        sizes_of = F.array(*[F.lit(r).cast("long") for r in room])
-        placed = ranked(applied.withColumn("h", F.col("ord.h")), "h", "vec_id", ("at",))
-        over = placed.groupBy("at").agg(F.count("*").alias("n"), F.max(F.when(F.col("rank") < F.get(sizes_of, F.col("at")), F.col("ord"))).alias("last"))
-        full = over.where(F.col("n") > F.get(sizes_of, F.col("at"))).collect()  # a row a centre
-        if not full:
-            names = F.array(*[F.lit(int(k)) for k in keys])
-            return applied.select("vec_id", F.get(names, F.col("at")).cast("long").alias("cid"))
-        for r in full:
-            bounds[r["at"]] = (r["last"]["h"], r["last"]["vec_id"])
+    order = ((F.col("vec_id") * 2654435761) % (1 << 32)).cast("double")
+    choices = matching.nearest_choices(rows, c, len(c)).withColumn("d", F.transform("p", lambda _: order))
+    found = matching.by_preferences(stored(choices, "equal-size"), room, many=False)
+    names = rows.sparkSession.createDataFrame([(i, int(k)) for i, k in enumerate(keys)], "at int, cid long")
+    return found.join(F.broadcast(names), "at").select("vec_id", "cid")
 
 
 def by_labels(rows: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:

@@ -106,3 +106,13 @@ ORACLES = {
     "top_columns": "select * from (values ('l_quantity', 3.0::double), ('l_returnflag', 2.5::double)) t(\"column\", weight)",
     "partition_pruned_sql": f"select l_returnflag, count(*) as n, round(sum(l_extendedprice), 2) as price from lineitem where {WORKLOAD[1].sql()} group by l_returnflag",
 }
+_DIGITS = "cast(list_reduce(list_prepend(0::bigint, list_transform(string_split(md5({x}), ''), lambda d: cast(instr('0123456789abcdef', d) - 1 as bigint))), lambda a, d: (a * 16 + d) % 16) as bigint)"
+ORACLES["hash_partitions"] = (
+    f"with k as (select p_partkey as id, {_DIGITS.format(x='p_brand')} as b1, {_DIGITS.format(x='cast(p_size as varchar)')} as b2 from part), n as (select count(*) // 16 + 1 as room from part), "
+    "one as (select *, row_number() over (partition by b1 order by id) as r from k), kept as (select id, b1 as bid from one, n where r <= room), used as (select bid, count(*) as c from kept group by 1), "
+    "two as (select id, b2, row_number() over (partition by b2 order by id) as r2 from one, n where r > room), fit as (select two.*, r2 <= room - coalesce(c, 0) as fits from two left join used on b2 = bid, n), "
+    "moved as (select id, b2 as bid from fit where fits), filled as (select bid, count(*) as c from (select * from kept union all select * from moved) group by 1), "
+    "free as (select b as bid, room - coalesce(c, 0) as free from (select unnest(range(16)) as b) left join filled on b = bid, n), upto as (select bid, sum(free) over (order by bid) as hi, sum(free) over (order by bid) - free as lo from free), "
+    "rest as (select id, row_number() over (order by id) - 1 as p from fit where not fits) "
+    "select * from kept union all select * from moved union all select id, bid from rest join upto on p >= lo and p < hi"
+)

@@ -297,3 +297,14 @@ ORACLES = {
     "knn_ground_truth_recall": f"with {BASE}, {QUERIES_CTE}, t as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(q, v), 9), vec_id) as r from qs, base) where r <= 10), h as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(q, v), 9), vec_id) as r from qs, base where vec_id % 2 = 0) where r <= 10) select t.query_id, count(h.vec_id) as hits, round(count(h.vec_id) / 10.0, 6) as recall from t left join h on t.query_id = h.query_id and t.vec_id = h.vec_id group by 1",
     "ivf_probe_knn": f"with {BASE}, {QUERIES_CTE}, {CENTRES}, {NEAREST}, pr as (select query_id, q, cid from (select query_id, q, cid, row_number() over (partition by query_id order by round(list_distance(q, c), 9), cid) as r from qs, cent) where r <= 2), d as (select query_id, vec_id, list_distance(q, v) as distance from pr join near using (cid)), r as (select *, row_number() over (partition by query_id order by round(distance, 9), vec_id) as rank from d) select query_id, cast(rank as bigint) as rank, vec_id, round(distance, 6) + 0.0 as distance from r where rank <= 10",
 }
+# base, hot, balanced in this order; counters are lists of three
+ORACLES["switch_counter"] = (
+    f"{_FAMILIES.replace('with ', 'with recursive ', 1)}, opt as (select window_id, list(query_cost order by ord) as c, list(candidate_id order by ord) as ids, list(layout_label order by ord) as labs from fam group by 1), "
+    "walk as (select -1::bigint as window_id, 0 as cur, [0.0, 0.0, 0.0]::double[] as t, 0 as prev union all "
+    "select window_id, case when window_id = 0 then 0 else nxt end, case when window_id > 0 and nxt <> cur then list_transform(t2, lambda x, i: case when i = cur + 1 then 0.0 else x end) else t2 end, cur from "
+    "(select *, case when t2[cur + 1] <= 20.0 then cur when list_sum(wt) > 0 then list_filter([0, 1, 2], lambda i: list_sum(wt[1:i + 1]) >= u * list_sum(wt))[1] "
+    "else list_sort(list_transform([0, 1, 2], lambda i: {'t': t2[i + 1], 'n': ids[i + 1], 'i': i}))[1].i end as nxt from "
+    "(select *, list_transform(t2, lambda x: greatest(0.0, (20.0 - x) / 20.0)) as wt, (((window_id + 1) * 2654435761 + 3 * 40503) % 1000003 + 1) / 1000005.0 as u from "
+    "(select opt.window_id, walk.cur, ids, list_transform(walk.t, lambda x, i: x + c[i]) as t2 from walk join opt on opt.window_id = walk.window_id + 1)))) "
+    "select window_id, ids[cur + 1] as chosen_candidate_id, labs[cur + 1] as layout_label, round(c[cur + 1], 6) + 0.0 as query_cost, case when window_id > 0 and cur <> prev then 20.0 else 0.0 end as movement_cost, window_id > 0 and cur <> prev as switched from walk join opt using (window_id)"
+)

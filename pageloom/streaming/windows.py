@@ -114,7 +114,7 @@ def counter_switches(costs: DataFrame, run: str, alpha: float, seed: int = 0) ->
         if state.exists:
             keys, values, current, done = state.get
             policy.counter, policy.current = dict(zip(keys, values, strict=True)), current or None
-            policy.rng = np.random.default_rng((seed, done))
+            policy.seen = done
         out = []
         rows = pd.concat(list(frames)).sort_values(["window_id", "candidate_id"], kind="stable")
         for window, group in rows.groupby("window_id", sort=True):

@@ -128,14 +128,46 @@ def test_boundary_flags(base, queries):
         assert r["touched"] == _scan(np.array([s for s, _ in order]), d, round(float(np.linalg.norm(q - rep)), 9), 5)
 
 
-def test_monotone_cubic():
-    line = partial.monotone_cubic(np.array([0.0, 2.0]), np.array([1.0, 3.0]))
-    assert line(1.0) == 2.0 and line(4.0) == 5.0
+def test_smooth_shares():
+    zero = np.zeros(1, int)
+    line = partial.SmoothShares([(np.array([0.0, 2.0]), np.array([1.0, 3.0]))])
+    assert line(zero, np.array([1.0]))[0] == 2.0 and line(zero, np.array([4.0]))[0] == 5.0
     x, y = np.array([0.0, 1.0, 2.0, 4.0]), np.array([0.0, 0.0, 0.5, 1.0])
-    f = partial.monotone_cubic(x, y)
-    values = [f(t) for t in np.linspace(0, 4, 200)]
-    assert all(b >= a - 1e-12 for a, b in zip(values, values[1:])) and [f(t) for t in x] == pytest.approx(y)
-    assert partial.radius(*partial.knots(np.arange(100.0)), 100, 99.0, 50.0, 10) == pytest.approx(5, abs=0.5)
+    both = partial.SmoothShares([(np.array([0.0, 2.0]), np.array([1.0, 3.0])), (x, y)])
+    t = np.linspace(0, 4, 200)
+    values = both(np.ones(200, int), t)
+    assert (np.diff(values) >= -1e-12).all() and both(np.ones(4, int), x) == pytest.approx(y)
+    # the cubic of one piece by its own definition
+    k, h = 2, 2.0
+    d0, d1 = both.slope[1, k], both.slope[1, k + 1]
+    for u in (0.1, 0.5, 0.9):
+        want = (2 * u**3 - 3 * u**2 + 1) * y[k] + (u**3 - 2 * u**2 + u) * h * d0 + (3 * u**2 - 2 * u**3) * y[k + 1] + (u**3 - u**2) * h * d1
+        assert both(np.ones(1, int), np.array([x[k] + u * h]))[0] == pytest.approx(want)
+    values = np.arange(100.0)
+    own = partial.SmoothShares([partial.cumulative_shares(np.histogram(values, 10)[0], 0.0, 99.0, 0.0)])
+    assert own.radii(zero, np.array([50.0]), np.array([0.1]), np.array([99.0]))[0] == pytest.approx(5, abs=0.5)
+
+
+def test_blocks_are_the_sequential_greedy(spark):
+    """Pairs in order of distance under a capacity, then whatever is left by distance to what is free."""
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(70, 3)), rng.normal(size=(9, 3))
+    x[:30] *= 0.05  # a crowd around one place
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>").repartition(3)
+    d = np.round(np.linalg.norm(x[:, None] - c[None], axis=2), 9)
+    near = np.argsort(d, 1, kind="stable")[:, :3]
+    room, want = np.full(9, 8), {}
+    for _, i, k in sorted((d[i, k], i, k) for i in range(70) for k in near[i]):
+        if i not in want and room[k]:
+            want[i] = k
+            room[k] -= 1
+    for _, i, k in sorted((d[i, k], i, k) for i in range(70) if i not in want for k in range(9)):
+        if i not in want and room[k]:
+            want[i] = k
+            room[k] -= 1
+    assert len(want) == 70
+    got = {r["vec_id"]: r["cid"] for r in transforms.assign_blocks(rows, c, 8, nearest=3).collect()}
+    assert got == want
 
 
 def test_gravity_by_hand():

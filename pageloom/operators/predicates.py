@@ -244,12 +244,41 @@ def cut_score(sides: list[tuple[int, dict]], queries: list[dict[str, tuple]], pa
     return sum(size for q in own for size, box in sides if _meets(box, q)) / (n * len(own))
 
 
-def grow_tree(rows: DataFrame, columns: list[str], cuts: list[tuple[str, float]], queries: list[dict[str, tuple]], k: int) -> Node:
+def _box(rows: DataFrame, columns: list[str]) -> tuple[int, dict[str, tuple]]:
+    r = rows.agg(F.count("*").alias("n"), *[F.min(c).alias(f"{c}_lo") for c in columns], *[F.max(c).alias(f"{c}_hi") for c in columns]).first()
+    return r["n"], {c: (r[f"{c}_lo"], r[f"{c}_hi"]) for c in columns}
+
+
+def _median_of(rows: DataFrame, root: Node, node: Node, columns: list[str]) -> tuple[str, float] | None:
+    """The median cut of a node's first column that varies."""
+    mine = rows.where(root.label() == node.name)
+    for c in columns:
+        if node.box[c][0] != node.box[c][1] and (at := median_cut(mine, c)) is not None:
+            return c, at
+    return None
+
+
+def categorical_cuts(rows: DataFrame, predicates: list, min_size: int, most: int = 2000) -> DataFrame:
+    """(column, values, inside, outside): 'column in values' for every set of the workload, but for columns with more than
+    `most` different values, where both sides hold at least min_size rows. One aggregate scores all."""
+
+    def found(p) -> list:
+        return [p] if isinstance(p, Leaf) else [*found(p.left), *found(p.right)]
+
+    sets = sorted({(x.column, tuple(sorted(x.values))) for p in predicates for x in found(p) if x.kind == "in"})
+    names = sorted({c for c, _ in sets})
+    counts = rows.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(f"d_{c}") for c in names], *[F.count_if(F.col(c).isin(*v)).alias(f"c{i}") for i, (c, v) in enumerate(sets)])
+    listed = [F.struct(F.lit(c).alias("column"), F.lit(",".join(v)).alias("values"), F.col(f"c{i}").alias("inside"), (F.col("n") - F.col(f"c{i}")).alias("outside"), F.col(f"d_{c}").alias("d")) for i, (c, v) in enumerate(sets)]
+    out = counts.select(F.explode(F.array(*listed)).alias("c")).select("c.*")
+    return out.where((F.col("inside") >= min_size) & (F.col("outside") >= min_size) & (F.col("d") <= most)).drop("d")
+
+
+def grow_tree(rows: DataFrame, columns: list[str], cuts: list[tuple[str, float]], queries: list[dict[str, tuple]], k: int, fallback: bool = False) -> Node:
     """A tree of at most k leaves, level by level, nodes with most rows times cost first.
 
     Each level is one aggregate over the rows: sizes and boxes of both sides of every cut in every node. A cut
-    must leave half of n / k rows on both sides and read less than 0.99 of what the node reads; a node without
-    such a cut stays a leaf.
+    must leave half of n / k rows on both sides and read less than 0.99 of what the node reads. A node without
+    such a cut stays a leaf, or with `fallback` is cut at the median of its first column that varies.
     """
     first = rows.agg(F.count("*").alias("n"), *[F.min(c).alias(f"{c}_lo") for c in columns], *[F.max(c).alias(f"{c}_hi") for c in columns]).first()
     root = Node(0, first["n"], {c: (first[f"{c}_lo"], first[f"{c}_hi"]) for c in columns})
@@ -273,9 +302,12 @@ def grow_tree(rows: DataFrame, columns: list[str], cuts: list[tuple[str, float]]
                     s = cut_score([both[False], both[True]], queries, node.box)
                     if s < best[0] * (0.99 if best[1] is not None else 1):
                         best = (s, i)
-            if best[1] is not None:
-                both = sides[node.name][best[1]]
-                node.cut = cuts[best[1]]
+            cut = cuts[best[1]] if best[1] is not None else None
+            both = sides[node.name][best[1]] if cut else None
+            if cut is None and fallback and (cut := _median_of(rows, root, node, columns)):
+                both = {side: _box(rows.where((root.label() == node.name) & where), columns) for side, where in ((False, ~F.coalesce(F.col(cut[0]) > F.lit(cut[1]), F.lit(False))), (True, F.col(cut[0]) > F.lit(cut[1])))}
+            if cut is not None:
+                node.cut = cut
                 node.below, node.above = Node(names, *both[False]), Node(names + 1, *both[True])
                 names += 2
                 grown += [node.below, node.above]

@@ -141,3 +141,30 @@ def farthest_cluster(queries: DataFrame, centres: DataFrame) -> DataFrame:
     means = found.groupBy("cid").agg(F.round(F.avg("dist"), 9).alias("m"))
     best = means.agg(F.max(F.struct("m", (-F.col("cid")).alias("neg"))).alias("b")).select((-F.col("b.neg")).alias("cid"))
     return found.join(F.broadcast(best), "cid", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "cid")
+
+
+def counted_attraction_order(base: DataFrame, queries: DataFrame, centres: Centres, k: int = 3, t: float = 0.3) -> DataFrame:
+    """A given number of clusters of equal size (the remainder over the first) on pulled, normalised vectors, by their
+    attraction to the mean query direction, members by distance to the centre."""
+    x = transforms.gravity(base, "v", transforms.query_anchors(queries), k, t, keep=tuple(c for c in base.columns if c != "v"))
+    x = x.withColumn("v", V.normalise(F.col("v")))
+    c = centres(x)
+    met = x.select("vec_id", "v").join(equal_size_labels(x, c), "vec_id").join(F.broadcast(c), "cid").withColumn("dist", V.l2(F.col("v"), F.col("c")))
+    return orders.by_clusters(met, orders.block_scores(met, stats.mean_direction(queries)), "score", F.col("dist"))
+
+
+def joint_key_order(base: DataFrame, queries: DataFrame, dims: int, centres: Centres) -> DataFrame:
+    """Vectors mapped by the covariance of queries and vectors together, by the distance to the own centre plus that
+    centre's distances to all."""
+    both = stacked(base, queries)
+    x = transforms.linear(both, "v", transforms.adaptive_matrix(stats.covariance_matrix(both, "v", dims)), "vec_id", "src").where("src = 'base'").drop("src")
+    x = x.join(base.drop("v"), "vec_id")
+    return orders.centre_key_order(x, centres(x))
+
+
+def first_component_order(base: DataFrame, dims: int) -> DataFrame:
+    """(vec_id, key, pos): by the projection on the direction of largest variance. It stands in for a learned score; nothing
+    is learned from queries."""
+    _, vectors = transforms.eigen(stats.covariance_matrix(base, "v", dims))
+    direction = F.array(*[F.lit(float(x)) for x in vectors[:, -1]])
+    return orders.by_key(base, F.round(V.inner_product(F.col("v"), direction), 9))

@@ -137,3 +137,60 @@ def random_ranges(rows: DataFrame, column: str, n: int, selectivity: float, seed
     span = F.col("hi0") - F.col("lo0")
     lo = F.col("lo0") + uniform(F.col("query_id"), seed) * span * (1 - selectivity)
     return drawn.select("query_id", lo.alias("lo"), (lo + span * selectivity).alias("hi"))
+
+
+def random_sets(rows: DataFrame, column: str, n: int, k: int, seed: int) -> DataFrame:
+    """(query_id, values): k different values of a category, drawn for each of n queries. Categories' values are few."""
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
+    place = values.withColumn("p", F.row_number().over(Window.orderBy("value")) - 1)
+    drawn = rows.sparkSession.range(n).withColumnRenamed("id", "query_id").crossJoin(F.broadcast(place))
+    order = Window.partitionBy("query_id").orderBy(uniform(F.col("query_id") * 1000 + F.col("p"), seed), "p")
+    chosen = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return chosen.groupBy("query_id").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def random_spans(rows: DataFrame, column: str, n: int, days: int, seed: int) -> DataFrame:
+    """(query_id, lo, hi): spans of so many days that begin on a day between the column's first and last."""
+    ends = rows.agg(F.min(F.to_date(column)).alias("a"), F.max(F.to_date(column)).alias("b"))
+    drawn = rows.sparkSession.range(n).withColumnRenamed("id", "query_id").crossJoin(F.broadcast(ends))
+    lo = F.date_add("a", F.floor(uniform(F.col("query_id"), seed) * (F.datediff("b", "a") + 1)).cast("int"))
+    return drawn.select("query_id", lo.alias("lo"), F.date_add(lo, days).alias("hi"))
+
+
+def filled_templates(walk: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
+    """(query_id, template, lo, hi): each query of a walk takes one of the n ranges, by its place and template."""
+    picked = walk.withColumn("pick", (F.col("query_id") * 7 + F.col("template")) % n)
+    return picked.join(F.broadcast(ranges.withColumnRenamed("query_id", "pick")), "pick").select("query_id", "template", "lo", "hi")
+
+
+def resampled_rows(rows: DataFrame, dims: tuple[int, int], n: int, seed: int) -> DataFrame:
+    """(row_id, v): n rows that are the mean in all dimensions but two, which come from drawn vectors."""
+    from pageloom.operators import stats
+
+    total = rows.count()
+    placed = rows.select("v", F.col("vec_id"))
+    draws = rows.sparkSession.range(n).withColumnRenamed("id", "row_id").withColumn("vec_id", F.floor(uniform(F.col("row_id"), seed) * total).cast("long"))
+    met = draws.join(placed, "vec_id").crossJoin(F.broadcast(stats.mean_vector(rows, "v")))
+    return met.select("row_id", F.transform("mean", lambda m, i: F.when(i.isin(list(dims)), F.get("v", i)).otherwise(m)).alias("v"))
+
+
+def sampled_files(rows: DataFrame, file: str, key: str, least: int, share: float, seed: int) -> DataFrame:
+    """Of each file min(max(least, share * rows), rows) rows, by a hash of the key: the sample that a plan is made from."""
+    sizes = rows.groupBy(file).agg(F.count("*").alias("_n"))  # a row a file
+    want = F.least(F.greatest(F.lit(least), F.floor(F.col("_n") * share)), F.col("_n"))
+    order = Window.partitionBy(file).orderBy(uniform(F.col(key), seed), key)
+    met = rows.join(F.broadcast(sizes.withColumn("_want", want)), file)
+    return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_want")).drop("_n", "_want", "_r")
+
+
+def neighbour_samples(queries: DataFrame, base: DataFrame, ks: list[int], seed: int) -> DataFrame:
+    """(query_id, k, vec_id): each query with as many neighbours as one of the ks, drawn by its id."""
+    choice = F.floor(uniform(F.col("query_id"), seed) * len(ks)).cast("int")
+    near = knn.exact(queries, base, max(ks)).withColumn("k", F.get(F.array(*[F.lit(k) for k in ks]), choice))
+    return near.where(F.col("rank") <= F.col("k")).select("query_id", "k", "vec_id")
+
+
+def running_costs(costs: DataFrame) -> DataFrame:
+    """costs with total: each state's costs up to and with the window."""
+    upto = Window.partitionBy("state").orderBy("window_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return costs.withColumn("total", F.sum("cost").over(upto))

@@ -82,12 +82,38 @@ def qd_tree_leaves(spark, root):
     return P.zone_map(rows.withColumn("bid", tree.label()), "bid", COLUMNS)
 
 
+def categorical_cuts(spark, root):
+    return P.categorical_cuts(table(spark, root, "lineitem"), [*WORKLOAD, P.Leaf("l_linestatus", "in", ("O",))], 500)
+
+
+def qd_tree_fallback(spark, root):
+    """No cut of the workload helps, so nodes are cut at medians: sizes and boxes of the leaves."""
+    rows = table(spark, root, "lineitem")
+    tree = P.grow_tree(rows, ["l_quantity"], [("l_quantity", 1000.0)], [{"l_quantity": (0.0, 100.0)}], 2, fallback=True)
+    return P.zone_map(rows.withColumn("bid", tree.label().cast("long")), "bid", ["l_quantity"])
+
+
+def replay_reorganised(spark, root):
+    """(layout, query_id, parts, rows): the table written anew for each layout, then every query over the partitions it can match in."""
+    lines, out = table(spark, root, "lineitem"), None
+    for name, label in (("bands", F.floor(F.col("l_quantity") / 5)), ("prices", F.floor(F.col("l_extendedprice") / 10000))):
+        rows, path = lines.withColumn("bid", label.cast("long")), path_for(spark, f"replay-{name}")
+        partitions.write_partitions(rows, path)
+        zones = P.zone_map(rows, "bid", [*COLUMNS, "l_returnflag"], ["l_returnflag"])
+        for i, p in enumerate(WORKLOAD):
+            parts = P.matching_parts(zones, "bid", p)
+            found = partitions.read_partitions(spark, path, parts).where(p.rows()).agg(F.count("*").alias("rows"))
+            one = found.select(F.lit(name).alias("layout"), F.lit(i).cast("long").alias("query_id"), F.lit(len(parts)).cast("long").alias("parts"), "rows")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def hash_partitions(spark, root):
     part = table(spark, root, "part")
     return P.hash_partitions(part, "p_partkey", F.col("p_brand"), F.col("p_size"), 16)
 
 
-QUERIES = {f.__name__: f for f in (zone_map_lineitem, zone_map_merged, predicate_rows, predicate_skip_cost, split_candidates, median_split, top_columns, partition_pruned_sql, qd_tree_leaves, hash_partitions)}
+QUERIES = {f.__name__: f for f in (zone_map_lineitem, zone_map_merged, predicate_rows, predicate_skip_cost, split_candidates, median_split, top_columns, partition_pruned_sql, qd_tree_leaves, qd_tree_fallback, categorical_cuts, replay_reorganised, hash_partitions)}
 _Z = "z as (select cast(floor(l_quantity / 5) as bigint) as bid, count(*) as size, " + ", ".join(f"min({c}) as {c}_lo, max({c}) as {c}_hi" for c in [*COLUMNS, "l_returnflag"]) + ", list_sort(list(distinct l_returnflag)) as s from lineitem group by 1)"
 _TOUCH = [
     "l_quantity_hi >= 10 and l_quantity_lo <= 20",
@@ -116,3 +142,13 @@ ORACLES["hash_partitions"] = (
     "rest as (select id, row_number() over (order by id) - 1 as p from fit where not fits) "
     "select * from kept union all select * from moved union all select id, bid from rest join upto on p >= lo and p < hi"
 )
+ORACLES["categorical_cuts"] = " union all ".join(
+    f"select * from (select '{c}' as column, '{','.join(v)}' as \"values\", count(*) filter ({c} in ({', '.join(repr(x) for x in v)})) as inside, count(*) filter ({c} not in ({', '.join(repr(x) for x in v)})) as outside from lineitem) where inside >= 500 and outside >= 500"
+    for c, v in (("l_linestatus", ("O",)), ("l_returnflag", ("A", "N")), ("l_returnflag", ("R",)))
+)
+ORACLES["qd_tree_fallback"] = "with m as (select l_quantity as m from lineitem order by l_quantity limit 1 offset (select count(*) // 2 from lineitem)) select case when l_quantity > m then 2 else 1 end::bigint as bid, count(*) as size, min(l_quantity) as l_quantity_lo, max(l_quantity) as l_quantity_hi from lineitem, m group by 1"
+ORACLES["replay_reorganised"] = " union all ".join(
+    f"select '{name}' as layout, cast({i} as bigint) as query_id, (select count(*) from {_Z.removeprefix("z as ").replace("l_quantity / 5", by)} where {t}) as parts, (select count(*) from lineitem where {p.sql()}) as rows"
+    for name, by in (("bands", "l_quantity / 5"), ("prices", "l_extendedprice / 10000"))
+    for i, (t, p) in enumerate(zip(_TOUCH, WORKLOAD))
+)

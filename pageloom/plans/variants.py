@@ -64,6 +64,23 @@ def layout_query_map(spark, root):
     return variants.query_map_order(base, queries, 64, stats.centroids, k=k).select("vec_id", "pos")
 
 
+def layout_no_vertical(spark, root):
+    """The ablation without the vertical step: the same order as layout_joint_map."""
+    return layout_joint_map(spark, root)
+
+
+def layout_counted(spark, root):
+    return variants.counted_attraction_order(*_both(spark, root), stats.centroids).select("vec_id", "pos")
+
+
+def layout_joint_key(spark, root):
+    return variants.joint_key_order(*_both(spark, root), 64, stats.centroids).select("vec_id", "pos")
+
+
+def order_first_component(spark, root):
+    return variants.first_component_order(base_vectors(spark, root), 64).select("vec_id", "pos")
+
+
 def query_selection(spark, root):
     queries = query_stream(spark, root)
     return variants.farthest_cluster(queries, _first_queries(queries, 3)).select("query_id", "cid")
@@ -74,7 +91,7 @@ def stacked_rows(spark, root):
     return rows.select("vec_id", "src", V.round6(F.col("v")[0]).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (gravity_exact, layout_pulled3, layout_pulled10, layout_stacked, equal_size_labels, layout_equal_pulled, layout_equal_block_pull, layout_joint_map, layout_query_map, query_selection, stacked_rows)}
+QUERIES = {f.__name__: f for f in (gravity_exact, layout_pulled3, layout_pulled10, layout_stacked, equal_size_labels, layout_equal_pulled, layout_equal_block_pull, layout_joint_map, layout_query_map, layout_no_vertical, layout_counted, layout_joint_key, order_first_component, query_selection, stacked_rows)}
 
 _QA = farthest("anc", "qs", "query_id", "q", 8, 128)
 
@@ -104,6 +121,7 @@ ORACLES = {
     "equal_size_labels": f"with recursive {BASE}, {centroids_of('base')}, {_SERIAL.format(rows='base')} select vec_id, cid from lab",
     "layout_equal_pulled": f"{_pulled(3)}, {centroids_of('g')}, {_SERIAL.format(rows='g')}, {_LABEL_SUMS}, near as (select vec_id, cid, list_distance(v, c) as dist from g join lab using (vec_id) join cent using (cid)), {numbered('total', 'dist')} select vec_id, pos from o",
     "layout_equal_block_pull": f"with recursive {BASE}, {QUERIES_CTE}, {QBAR}, {centroids_of('base')}, {_SERIAL.format(rows='base')}, near as (select vec_id, cid, v, 1 - list_cosine_similarity(v, c) as dist from base join lab using (vec_id) join cent using (cid)), sums as (select cid, min(1 - list_cosine_similarity(v, qbar)) as total from near, qbar group by cid), {numbered('total', 'dist')} select vec_id, pos from o",
+    "layout_counted": f"{_pulled(3).replace(gravity_to('g', 'base', 3), gravity_to('g0', 'base', 3))}, {QBAR}, g as (select vec_id, list_transform(v, lambda x: x / n) as v from (select vec_id, v, sqrt(list_inner_product(v, v)) as n from g0)), {centroids_of('g')}, {_SERIAL.format(rows='g')}, near as (select vec_id, cid, v, list_distance(v, c) as dist from g join lab using (vec_id) join cent using (cid)), sums as (select cid, min(1 - list_cosine_similarity(v, qbar)) as total from near, qbar group by cid), {numbered('total', 'dist')} select vec_id, pos from o",
     "query_selection": f"with {BASE}, {QUERIES_CTE}, n as (select a.query_id, b.query_id as cid, list_distance(a.q, b.q) as d, row_number() over (partition by a.query_id order by round(list_distance(a.q, b.q), 9), b.query_id) as r from qs a, qs b where b.query_id < 3), m as (select cid from n where r = 1 group by cid order by round(avg(d), 9) desc, cid limit 1) select query_id, cid from n join m using (cid) where r = 1",
     "stacked_rows": f"with {BASE}, {QUERIES_CTE} select vec_id, 'base' as src, round(v[1], 6) + 0.0 as x from base union all select -1 - query_id, 'query', round(q[1], 6) + 0.0 from qs",
 }

@@ -198,9 +198,59 @@ def ivf_probe_knn(spark, root):
     return found.withColumn("distance", V.round6(F.col("distance")))
 
 
+def dis_partial_cost(spark, root):
+    base, centre, n, metas = _dis(spark, root)
+    radius = partial.second_neighbour_radius(partial.radius_sample(base), base)
+    found = partial.prefix_or_full(query_stream(spark, root), metas, centre, radius, n, 0.8)
+    return found.withColumn("fraction", V.round6(F.col("fraction")))
+
+
+def materialised_families(spark, root):
+    queries = query_stream(spark, root)
+    rows = workload.windows(queries, WINDOW).join(stats.dispersion(workload.with_window(queries, WINDOW), "q", "window_id"), "window_id")
+    found = partial.materialised_families(rows, workload.hot_overlap(_hot(spark, root)), 0.3)
+    return found.withColumns({c: V.round6(F.col(c)) for c in ("query_cost", "movement_cost")})
+
+
+def running_state_costs(spark, root):
+    return workload.running_costs(_state_costs(spark, root)).withColumns({c: V.round6(F.col(c)) for c in ("cost", "total")})
+
+
+def random_sets(spark, root):
+    found = workload.random_sets(table(spark, root, "part"), "p_brand", 20, 3, 9)
+    return found.select("query_id", F.array_join("values", ",").alias("values"))
+
+
+def random_spans(spark, root):
+    found = workload.random_spans(table(spark, root, "orders"), "o_orderdate", 20, 30, 4)
+    return found.select("query_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("lo", "hi")])
+
+
+def template_workload(spark, root):
+    walk = workload.markov_templates(spark, templates=5, length=200, stay=0.6, seed=7)
+    ranges = workload.random_ranges(table(spark, root, "lineitem"), "l_quantity", n=30, selectivity=0.2, seed=3)
+    return workload.filled_templates(walk, ranges, 30).withColumns({c: V.round6(F.col(c)) for c in ("lo", "hi")})
+
+
+def resampled_rows(spark, root):
+    found = workload.resampled_rows(base_vectors(spark, root), (2, 5), 300, 6)
+    return found.select("row_id", *[V.round6(F.col("v")[i]).alias(f"x{i}") for i in (0, 2, 5)])
+
+
+def sampled_files(spark, root):
+    rows = table(spark, root, "orders").select("o_orderkey", F.col("o_orderstatus").alias("file"))
+    return workload.sampled_files(rows, "file", "o_orderkey", 100, 0.05, 2)
+
+
+def neighbour_samples(spark, root):
+    found = workload.neighbour_samples(query_stream(spark, root), base_vectors(spark, root), [1, 5, 10], 8)
+    return found.withColumn("k", F.col("k").cast("long"))
+
+
 _NAMES = """query_windows hot_vectors hot_overlap window_representative kde_representative rtbs_weighted_sample sliding_window_last_w partial_layout_blocks partial_layout_cost
 partial_smooth_cost partial_search partial_fallback_summary dis_block_meta dis_read_fraction layout_families_proxy switch_greedy switch_sticky switch_counter replay_summary
-schedule_tables wfa_trace regret_trace cost_profile_distance knn_single_topk knn_ground_truth_recall ivf_probe_knn"""
+schedule_tables wfa_trace regret_trace cost_profile_distance knn_single_topk knn_ground_truth_recall ivf_probe_knn
+dis_partial_cost materialised_families running_state_costs random_sets random_spans template_workload resampled_rows sampled_files neighbour_samples"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _HOT = (
@@ -308,3 +358,20 @@ ORACLES["switch_counter"] = (
     "(select opt.window_id, walk.cur, ids, list_transform(walk.t, lambda x, i: x + c[i]) as t2 from walk join opt on opt.window_id = walk.window_id + 1)))) "
     "select window_id, ids[cur + 1] as chosen_candidate_id, labs[cur + 1] as layout_label, round(c[cur + 1], 6) + 0.0 as query_cost, case when window_id > 0 and cur <> prev then 20.0 else 0.0 end as movement_cost, window_id > 0 and cur <> prev as switched from walk join opt using (window_id)"
 )
+
+_U = "(({id} * 2654435761 + {seed} * 40503) % 1000003 + 1) / 1000005.0"
+_FAM_ROWS = _FAMILIES[: _FAMILIES.index("kinds as")].rstrip(" ,")
+_MARKOV = f"w as (select 0::bigint as query_id, 0::bigint as template union all select query_id + 1, case when {_U.format(id='(query_id + 1)', seed=7)} < 0.6 then template else (template + 1 + cast(floor({_U.format(id='(query_id + 1)', seed=8)} * 4) as bigint)) % 5 end from w where query_id < 199)"
+ORACLES |= {
+    "dis_partial_cost": f"{_DIS}, rad as (select avg(d) as r from (select a.vec_id, min(list_distance(a.v, b.v)) as d from base a, base b where a.vec_id <> b.vec_id group by 1)), e as (select cast(floor(0.8 * (select count(*) from metas)) as bigint) as p), "
+    "aq as (select query_id, round(list_distance(q, c), 9) as d, r, p, round(list_distance(q, c), 9) + r <= (select dmax from metas where block_id = p - 1) as partial from qs, c, rad, e) "
+    "select query_id, partial, count(dmin) as blocks, round(coalesce(sum(size), 0) / (select count(*) from base), 6) + 0.0 as fraction from aq left join metas on dmax >= greatest(0.0, d - r) and dmin <= d + r and (not partial or block_id <= p - 2) group by query_id, partial",
+    "materialised_families": f"{_FAM_ROWS} select window_id, 'window' || window_id || '_qso_full' as candidate_id, 'qso_full' as layout_label, round(greatest(1.0::double, n * (1 + dispersion) * 0.78), 6) + 0.0 as query_cost, round(greatest(1, hot_count) * 0.3, 6) + 0.0 as movement_cost from disp join overlap using (window_id)",
+    "running_state_costs": f"with {_COSTS} select window_id, state, round(cost, 6) + 0.0 as cost, round(sum(cost) over (partition by state order by window_id rows unbounded preceding), 6) + 0.0 as total from costs",
+    "random_sets": f"with b as (select value, row_number() over (order by value) - 1 as p from (select distinct p_brand as value from part)), d as (select query_id, value, row_number() over (partition by query_id order by {_U.format(id='(query_id * 1000 + p)', seed=9)}, p) as r from (select unnest(range(20)) as query_id), b) select query_id, string_agg(value, ',' order by value) as \"values\" from d where r <= 3 group by 1",
+    "random_spans": f"with e as (select min(cast(o_orderdate as date)) as a, max(cast(o_orderdate as date)) as b from orders), d as (select query_id, a + cast(floor({_U.format(id='query_id', seed=4)} * (b - a + 1)) as int) as lo from (select unnest(range(20)) as query_id), e) select query_id, strftime(lo, '%Y-%m-%d') as lo, strftime(lo + 30, '%Y-%m-%d') as hi from d",
+    "template_workload": f"with recursive {_MARKOV}, e as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem), r as (select i, lo + {_U.format(id='i', seed=3)} * (hi - lo) * 0.8 as a, (hi - lo) * 0.2 as s from (select unnest(range(30)) as i), e) select query_id, template, round(a, 6) + 0.0 as lo, round(a + s, 6) + 0.0 as hi from w join r on i = (query_id * 7 + template) % 30",
+    "resampled_rows": f"with {BASE}, n as (select count(*) as n, avg(v[1]) as m from base), d as (select row_id, cast(floor({_U.format(id='row_id', seed=6)} * n) as bigint) as vec_id, m from (select unnest(range(300)) as row_id), n) select row_id, round(m, 6) + 0.0 as x0, round(v[3], 6) + 0.0 as x2, round(v[6], 6) + 0.0 as x5 from d join base using (vec_id)",
+    "sampled_files": f"select o_orderkey, file from (select o_orderkey, o_orderstatus as file, row_number() over (partition by o_orderstatus order by {_U.format(id='o_orderkey', seed=2)}, o_orderkey) as r, count(*) over (partition by o_orderstatus) as n from orders) where r <= least(greatest(100, floor(n * 0.05)), n)",
+    "neighbour_samples": f"with {BASE}, {QUERIES_CTE}, n as (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(q, v), 9), vec_id) as r, [1, 5, 10][cast(floor({_U.format(id='query_id', seed=8)} * 3) as int) + 1]::bigint as k from qs, base) select query_id, k, vec_id from n where r <= k",
+}

@@ -25,11 +25,27 @@ def _rows(frame):
     return sorted(map(tuple, frame[columns].map(str).to_numpy().tolist()))
 
 
+#: Queries that SQL cannot follow, and the plain versions that they are held against in other tests.
+ELSEWHERE = {
+    "partial_smooth_cost": "test_layouts.test_smooth_shares",
+    "qd_tree_leaves": "test_variants.test_tree_is_the_plain_greedy",
+    "query_layout": "test_layouts.test_blocks_are_the_sequential_greedy, test_variants.test_query_layout_is_a_permutation_with_near_blocks",
+    "hilbert_order": "test_variants.test_hilbert_neighbours_touch",
+    "layout_joint_map": "test_variants.test_joint_map",
+    "layout_no_vertical": "test_variants.test_joint_map",
+    "layout_query_map": "test_variants.test_query_map",
+    "layout_joint_key": "test_variants.test_joint_key",
+    "order_first_component": "test_variants.test_first_component",
+    "switch_on_pool": "test_variants.test_pool_switches_follow_the_policy",
+    "stream_reservoirs": "test_variants.test_reservoirs_hold_at_most_k_of_the_key",
+}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, ROOT).toPandas()
     if name not in ORACLES:
-        assert len(got)
+        assert len(got) and name in ELSEWHERE
         return
     want = con.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

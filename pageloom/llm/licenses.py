@@ -36,17 +36,33 @@ def _own(label: str, text: str, phrase: str, least: float = 0.6) -> Template:
     return Template(label, w, (at, len(p)), least)
 
 
+#: Sentences of public licences, lower-cased words; fixed values. A licence may have several, each with its phrase.
 TEMPLATES = (
     _base("cc-by", "cc by"),
     _base("gpl", "general public license"),
     _base("reserved", "all rights reserved"),
     _own("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    _own("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
+    _own("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    _own("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed under the license is distributed"),
+    _own("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "hereby granted free of charge"),
+    _own("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "all copies or substantial portions"),
     _own("mit-name", "released under the mit license", "mit license"),
-    _own("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    _own("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
+    _own("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "redistributions in binary form must reproduce"),
+    _own("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "used to endorse or promote products"),
+    _own("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+    _own("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable"),
+    _own("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it"),
+    _own("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    _own("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     _own("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    _own("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    _own("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    _own("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     _own("cc", "this work is licensed under a creative commons attribution license", "creative commons attribution"),
+    _own("cc-nc", "licensed under a creative commons attribution noncommercial license", "creative commons attribution noncommercial"),
     _own("proprietary", "this document is confidential and proprietary do not distribute", "confidential and proprietary"),
+    _own("proprietary", "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", "may be reproduced distributed or transmitted"),
 )
 
 

@@ -50,8 +50,16 @@ LISTED = (
     prefix_rule("example.net", "de/8", "block"),
     prefix_rule("org", "es/", "block"),
 )
-#: Host words that mark spam; they only decide where no listed rule fits.
-SPAM_HOSTS = tuple(map(host_word_rule, ("spam-farm", "cheap-pills", "casino", "free-money", "adult-cams", "link-exchange")))
+def path_word_rule(word: str) -> Rule:
+    """The filter's own kind: blocks paths that have `word` (parts joined by hyphens) as a segment or part of one."""
+    return Rule(f"/{word}", rf"^[^/]*/(?:.*[/._-])?{re.escape(word)}(?:[/._-].*)?$", tuple(_TOKEN.findall(word)), "block", 0, listed=False)
+
+
+#: Host and path words that mark spam, gambling, adult sites, trackers and machine pages; they only decide where no listed
+#: rule fits. Fixed values, a parameter of filter_urls().
+HOST_WORDS = "spam-farm cheap-pills casino free-money adult-cams link-exchange viagra payday-loans porn xxx torrents warez adserver tracker doubleclick".split()
+PATH_WORDS = "wp-login cgi-bin porn casino viagra free-money cheap-pills adserver torrents".split()
+SPAM_HOSTS = (*map(host_word_rule, HOST_WORDS), *map(path_word_rule, PATH_WORDS))
 
 
 def split_url(url: str | None) -> tuple[str, str]:

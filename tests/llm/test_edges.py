@@ -477,6 +477,28 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_rules_by_brute_force(spark):
+    """The index's answer is that of trying every rule on every url, whatever the counts that choose its tokens."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["spam-farm", "casino", "example", "com", "net", "org", "en", "de", "es", "7", "8", "wp-login", "x"]
+    urls = ["http://" + ".".join(rng.choices(parts, k=rng.randrange(1, 4))) + "/" + "/".join(rng.choices(parts, k=rng.randrange(4))) for _ in range(400)]
+    urls += ["http://a.com/" + "x/" * 50_000 + "casino", "http://casino.net/de/", "http://a.com/casino-x", "http://a.com/xcasino"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    every = (*url_filter.LISTED, *url_filter.SPAM_HOSTS)
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["own_rule"]) for r in url_filter.filter_urls(pages).collect()}
+    for counts in ({}, {t: i for i, t in enumerate(parts)}, {t: -i for i, t in enumerate(parts)}):
+        index = url_filter.RuleIndex(every, counts)
+        for i, u in enumerate(urls):
+            place = "".join(url_filter.split_url(u))
+            fits = [r for r in every if __import__("re").search(r.pattern, place)]
+            assert {r.name for r in index.fitting(place)} == {r.name for r in fits}
+            listed, own = [r for r in fits if r.listed], sorted(r.name for r in fits if not r.listed)
+            best = max(listed, key=lambda r: (r.size, r.name), default=None)
+            assert got[i] == (best and best.name, best.verdict if best else "block" if own else "allow", own[0] if own else None)
+
+
 def test_language_id(spark, docs, none):
     words = {"en": "the of and to in is", "fr": "le la les des et que", "de": "der die und das ist nicht"}
     rows = [(i, " ".join(words[lang].split()[(i * 7 + j * j) % 6] for j in range(12)), lang) for i, lang in enumerate([*words] * 40)]

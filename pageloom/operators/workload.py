@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
-from pageloom.operators import knn
+from pageloom.operators import blocks, knn
 
 
 def windows(queries: DataFrame, size: int, label: str = "window") -> DataFrame:
@@ -60,14 +62,32 @@ def representatives(queries: DataFrame, size: int) -> DataFrame:
 
 
 def kde_scores(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """(query_id, score): the sum over dimensions of the base data's kernel density at the query (Scott's rule)."""
+    """(query_id, score): the sum over dimensions of the base data's kernel density at the query (Scott's rule).
+
+    Queries go to the tasks in slices of a checked size; a task sends one sum a query.
+    """
     long = base.select(F.posexplode("v").alias("i", "x"))
-    spread = long.groupBy("i").agg((F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"), F.count("*").alias("n"))
-    h = spread.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda s: s.h).alias("h"), F.max("n").alias("n"))
-    pairs = base.select("v").crossJoin(F.broadcast(queries.select("query_id", "q").crossJoin(F.broadcast(h))))
-    terms = F.transform(F.arrays_zip("q", "v", "h"), lambda t: F.exp(-(t.q - t.v) * (t.q - t.v) / (2 * t.h * t.h)) / t.h)
-    one = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    return pairs.groupBy("query_id").agg((F.sum(one / (F.col("n") * F.sqrt(F.lit(2.0) * F.lit(3.141592653589793))))).alias("score"))
+    spread = long.groupBy("i").agg((F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"), F.count("*").alias("n")).orderBy("i").collect()  # a row a dimension
+    h, n = np.array([r["h"] for r in spread]), max((r["n"] for r in spread), default=0)
+    parts = max(1, -(-blocks.size_of(queries, "q")[1] // blocks.SHARED_BYTES))
+    out = None
+    for part in range(parts):
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        shared = base.sparkSession.sparkContext.broadcast((*blocks.held(mine, "query_id", "q"), h))
+
+        def run(batches, shared=shared):
+            keys, q, h = shared.value
+            total = np.zeros(len(keys))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    v = blocks.matrix(batch.column(0).slice(at, 256)) / h
+                    for i in range(len(keys)):
+                        total[i] += (np.exp(-0.5 * (q[i] / h - v) ** 2) / h).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(total)], ["query_id", "score"])
+
+        one = base.select(F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "query_id long, score double")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("query_id").agg((F.sum("score") / (n * (2.0 * 3.141592653589793) ** 0.5 if n else 1.0)).alias("score"))
 
 
 def uniform(id_col: Column, seed: int) -> Column:

@@ -173,11 +173,10 @@ def median_cut(rows: DataFrame, column: str):
     ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
     if ends["lo"] == ends["hi"]:
         return None
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).count()
-    from pyspark.sql import Window
+    from pageloom.operators.sweeps import by_value, running
 
-    upto = counts.withColumn("u", F.sum("count").over(Window.orderBy(column)))
-    at = upto.where(F.col("u") > n // 2).agg(F.min(column)).first()[0]
+    upto = running(by_value(rows, column, []), [("upto", F.sum, "n")], [])
+    at = upto.where(F.col("upto") > n // 2).agg(F.min("value")).first()[0]
     return at if at < ends["hi"] else rows.where(F.col(column) < F.lit(at)).agg(F.max(column)).first()[0]
 
 

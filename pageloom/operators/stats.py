@@ -93,17 +93,34 @@ def histogram_cdf(rows: DataFrame, value: str, max_bins: int = 32) -> DataFrame:
     return edges.join(counts, "bin", "left").select("bin", (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / F.col("bins")).alias("x"), (upto / F.col("n")).alias("y"))
 
 
-def merge_runs(rows: DataFrame, order: str, value: str, *keys: str) -> DataFrame:
+def merge_runs(rows: DataFrame, order: str, value: str, *keys: str, ranges: int = 64) -> DataFrame:
     """(keys, run, value, first, last, n): consecutive rows of equal value as one run, in the given order.
 
-    Keys partition the order; without keys the whole table is one sequence.
+    Keys partition the order. Without keys the whole table is one sequence: it is cut into ranges of a numeric order, and
+    a range learns from the ranges before it how many runs they began and which value came last.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.lag(order).over(w).isNull()).cast("int")
-    runs = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
-    return runs.groupBy(*keys, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    part = F.lit(0)
+    if not keys:
+        shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+        cuts = rows.agg(F.array_distinct(F.percentile_approx(order, shares, F.lit(10000))).alias("_cuts"))
+        rows = rows.crossJoin(F.broadcast(cuts))
+        part = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    rows = rows.withColumn("_part", part).drop("_cuts")
+    w = Window.partitionBy(*keys, "_part").orderBy(order)
+    before = F.lag(value).over(w)
+    new = (~F.col(value).eqNullSafe(before) | F.lag(order).over(w).isNull()).cast("int")
+    marked = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
+    if not keys:
+        # a row a range: its runs, its first and last value
+        ends = marked.groupBy("_part").agg(F.max("run").alias("_runs"), F.min_by(value, order).alias("_head"), F.max_by(value, order).alias("_tail"))
+        line = Window.orderBy("_part")
+        joined = (F.lag("_runs").over(line).isNotNull() & F.col("_head").eqNullSafe(F.lag("_tail").over(line))).cast("int")
+        ends = ends.withColumn("_joined", joined)
+        shift = F.sum(F.col("_runs") - F.col("_joined")).over(line) - F.col("_runs")
+        marked = marked.join(F.broadcast(ends.select("_part", shift.alias("_shift"))), "_part").withColumn("run", F.col("run") + F.col("_shift"))
+    return marked.groupBy(*keys, "run", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
 def mean_distance(a: DataFrame, b: DataFrame, on: list[str], value: str) -> Column:

@@ -25,5 +25,14 @@ def stream_reservoirs(spark, root):
     return S.drained(rows, f"r{uuid.uuid4().hex}", "update")
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_reservoirs)}
-ORACLES = {"stream_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 6) + 0.0 as total from events group by 1, 2"}
+def stream_sessions(spark, root):
+    rows = S.drained(S.sessions(_stream(spark, root), "6 hours"), f"s{uuid.uuid4().hex}", "complete")
+    return rows.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, stream_reservoirs)}
+ORACLES = {
+    "stream_sessions": "with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as new from events), g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from l) "
+    "select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 6 hour, '%Y-%m-%d %H:%M:%S') as \"end\", count(*) as n from g group by user_id, s",
+    "stream_tumbling": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 6) + 0.0 as total from events group by 1, 2",
+}

@@ -61,6 +61,12 @@ def combine_runs(spark, root):
     return stats.merge_runs(table(spark, root, "events"), "event_id", "event_type", "user_id").select("user_id", F.col("run").cast("long").alias("run"), "event_type", "first", "last", "n")
 
 
+def combine_runs_whole(spark, root):
+    """The events as one sequence."""
+    found = stats.merge_runs(table(spark, root, "events").select("event_id", (F.col("user_id") % 2).alias("side")), "event_id", "side")
+    return found.select(F.col("run").cast("long").alias("run"), "side", "first", "last", "n")
+
+
 def id_list_parse(spark, root):
     events = table(spark, root, "events")
     text = F.format_string("[%d, %d, %d]", F.col("event_id"), F.col("user_id"), F.col("event_id") % 7)
@@ -84,7 +90,7 @@ def short_numbers(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (vec_norms, vec_minmax_norm, vec_mean_query_direction, query_dispersion, covariance_matrix, centroid_assign, centroid_center_sums, distance_cdf, combine_runs, id_list_parse, identifier_normalize, md5_bucket, short_numbers)
+    for f in (vec_norms, vec_minmax_norm, vec_mean_query_direction, query_dispersion, covariance_matrix, centroid_assign, centroid_center_sums, distance_cdf, combine_runs, combine_runs_whole, id_list_parse, identifier_normalize, md5_bucket, short_numbers)
 }
 ORACLES = {
     "vec_norms": f"with {BASE} select vec_id, round(sqrt(list_inner_product(v, v)), 6) + 0.0 as norm, round(sqrt(list_inner_product(v, v)) / sqrt(list_inner_product(v, v)), 6) as unit, round(v[1] / (sqrt(list_inner_product(v, v)) + 1e-8), 6) + 0.0 as first from base",
@@ -103,3 +109,4 @@ ORACLES = {
 }
 # md5_number reads the digest in another byte order than its hexadecimal digits, so the digits are summed instead
 ORACLES["md5_bucket"] = "select p_partkey, cast(list_reduce(list_prepend(0::bigint, list_transform(string_split(md5(p_name), ''), lambda d: cast(instr('0123456789abcdef', d) - 1 as bigint))), lambda a, d: (a * 16 + d) % 97) as bigint) as bucket from part"
+ORACLES["combine_runs_whole"] = "with l as (select event_id, user_id % 2 as side, case when user_id % 2 = lag(user_id % 2) over (order by event_id) then 0 else 1 end as new from events), r as (select *, sum(new) over (order by event_id) as run from l) select cast(run as bigint) as run, side, min(event_id) as first, max(event_id) as last, count(*) as n from r group by run, side"

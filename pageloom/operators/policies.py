@@ -66,6 +66,12 @@ def greedy(families: DataFrame, alpha: float = 1.0, threshold: float = 0.0, stic
     return _fold(families, step, EVENT, run)
 
 
+def drawn(weight: np.ndarray, number: int, seed: int) -> int:
+    """A place with probability by weight, from a hash of the draw's number: runs can be repeated and resumed."""
+    u = ((number * 2654435761 + seed * 40503) % 1000003 + 1) / 1000005.0
+    return int(np.searchsorted(np.cumsum(weight), u * weight.sum()))
+
+
 class CounterState:
     """The counter policy's memory: costs by state since each was last left, and the current state."""
 
@@ -76,11 +82,6 @@ class CounterState:
         self.counter: dict[str, float] = {}
         self.current: str | None = None
 
-    def _draw(self, weight: np.ndarray) -> int:
-        """A place with probability by weight, from a hash of how many windows there were: runs can be repeated and resumed."""
-        u = ((self.seen * 2654435761 + self.seed * 40503) % 1000003 + 1) / 1000005.0
-        return int(np.searchsorted(np.cumsum(weight), u * weight.sum()))
-
     def window(self, options: list[tuple[str, str, float]]) -> tuple[str, float, bool]:
         """(candidate, query cost, switched) for one window's (candidate, state, cost)."""
         self.seen += 1
@@ -94,7 +95,7 @@ class CounterState:
         if self.counter[before] > self.alpha:
             weight = np.array([max(0.0, (self.alpha - self.counter[s]) / self.alpha) for _, s, _ in options])
             if weight.sum() > 0:
-                self.current = options[self._draw(weight)][1]
+                self.current = options[drawn(weight, self.seen, self.seed)][1]
             else:
                 self.current = min(options, key=lambda o: (self.counter[o[1]], o[0]))[1]
             if self.current != before:
@@ -126,7 +127,7 @@ class PhasedCounter:
 
     def __init__(self, states: list[str], alpha: float, tau: float = 1.0, smoothing: float = 1e-3, lag: int = 0, seed: int = 0):
         self.states, self.alpha, self.tau, self.smoothing, self.lag = list(states), alpha, tau, smoothing, lag
-        self.rng, self.counter, self.waiting = np.random.default_rng(seed), {s: 0.0 for s in states}, {}
+        self.seed, self.drawn, self.counter, self.waiting = seed, 0, {s: 0.0 for s in states}, {}
         self.current = self.serving = self.states[0]
         self.countdown, self.estimate = -1, dict(self.counter)
 
@@ -158,13 +159,28 @@ class PhasedCounter:
         w = (c.max() - c) / ((c.max() - c).sum() + self.smoothing)
         total = (w**self.tau).sum()
         p = w**self.tau / total if total > 0 else np.full(len(c), 1 / len(c))
-        new = open_states[int(self.rng.choice(len(open_states), p=p / p.sum()))]
+        self.drawn += 1
+        new = open_states[drawn(p, self.drawn, self.seed)]
         moved, self.current = new != self.current, new
         if moved:
             self.countdown = self.lag
         return moved
 
 
+def phased(costs: DataFrame, alpha: float, tau: float = 1.0, lag: int = 0, seed: int = 0, run: str | None = None) -> DataFrame:
+    """(window_id, state, switched): the phased counter policy over windows of (state, cost), states as in the first window."""
+
+    def step(pdf: pd.DataFrame) -> list:
+        policy, out = None, []
+        for window, group in pdf.groupby("window_id", sort=True):
+            cost = dict(zip(group["state"].tolist(), group["cost"].tolist(), strict=True))
+            policy = policy or PhasedCounter(sorted(cost), alpha, tau, lag=lag, seed=seed)
+            out.append((window, *policy.query(cost)))
+        return out
+
+    return _fold(costs, step, "window_id long, state long, switched boolean", run)
+
+
 def work_function(costs: DataFrame, alpha: float, run: str | None = None) -> DataFrame:
     """(window_id, state, work, best): work = min(own, smallest + alpha) + cost; the first state starts at 0, others at alpha."""
 

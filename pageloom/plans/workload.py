@@ -171,6 +171,10 @@ def regret_trace(spark, root):
     return policies.regret(_state_costs(spark, root), alpha=500.0)
 
 
+def phased_trace(spark, root):
+    return policies.phased(_state_costs(spark, root), alpha=2000.0, seed=5)
+
+
 def cost_profile_distance(spark, root):
     """(layout_id, distance): how far each layout's costs for all queries lie from those of the layout after it."""
     base, reps, queries, members = _layouts(spark, root)
@@ -249,7 +253,7 @@ def neighbour_samples(spark, root):
 
 _NAMES = """query_windows hot_vectors hot_overlap window_representative kde_representative rtbs_weighted_sample sliding_window_last_w partial_layout_blocks partial_layout_cost
 partial_smooth_cost partial_search partial_fallback_summary dis_block_meta dis_read_fraction layout_families_proxy switch_greedy switch_sticky switch_counter replay_summary
-schedule_tables wfa_trace regret_trace cost_profile_distance knn_single_topk knn_ground_truth_recall ivf_probe_knn
+schedule_tables wfa_trace phased_trace regret_trace cost_profile_distance knn_single_topk knn_ground_truth_recall ivf_probe_knn
 dis_partial_cost materialised_families running_state_costs random_sets random_spans template_workload resampled_rows sampled_files neighbour_samples"""
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 

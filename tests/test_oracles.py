@@ -36,6 +36,7 @@ ELSEWHERE = {
     "layout_query_map": "test_variants.test_query_map",
     "layout_joint_key": "test_variants.test_joint_key",
     "order_first_component": "test_variants.test_first_component",
+    "phased_trace": "test_variants.test_phased_counters",
     "switch_on_pool": "test_variants.test_pool_switches_follow_the_policy",
     "stream_reservoirs": "test_variants.test_reservoirs_hold_at_most_k_of_the_key",
 }

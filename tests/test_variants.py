@@ -224,6 +224,38 @@ def test_pool_switches_follow_the_policy(spark):
     assert sorted((r["window_id"], r["chosen_candidate_id"]) for r in QUERIES["switch_on_pool"](spark, ROOT).collect()) == want
 
 
+def test_phased_counters(spark):
+    """Counters fill, full ones are out, and a phase ends when all are full: walked over the events' costs by hand."""
+    from pageloom.plans import workload
+
+    costs = {}
+    for r in workload._state_costs(spark, ROOT).collect():
+        costs.setdefault(r["window_id"], {})[r["state"]] = r["cost"]
+    counter, current, draws, want = {s: 0.0 for s in range(4)}, 0, 0, []
+    for w in sorted(costs):
+        counter = {s: c + costs[w][s] for s, c in counter.items()}
+        moved = False
+        if counter[current] >= 2000.0:
+            left, held = [s for s in range(4) if counter[s] < 2000.0], dict(counter)
+            if not left:
+                counter = dict.fromkeys(counter, 0.0)
+                left = [current] if held[current] <= sum(held.values()) / 4 + 1e-3 else list(range(4))
+            c = [held[s] + 1e-3 for s in left]
+            gap = [max(c) - x for x in c]
+            weight = [g / (sum(gap) + 1e-3) for g in gap]
+            p = [x / sum(weight) for x in weight] if sum(weight) > 0 else [1 / len(c)] * len(c)
+            draws += 1
+            u, upto = ((draws * 2654435761 + 5 * 40503) % 1000003 + 1) / 1000005.0, 0.0
+            for s, x in zip(left, p):
+                upto += x
+                if upto >= u * sum(p):
+                    moved, current = s != current, s
+                    break
+        want.append((w, current, moved))
+    got = sorted((r["window_id"], r["state"], r["switched"]) for r in QUERIES["phased_trace"](spark, ROOT).collect())
+    assert got == want and any(m for *_, m in want)
+
+
 def test_hilbert_neighbours_touch():
     """Along the curve every step goes to a neighbouring cell, and every cell is met once."""
     for dims, bits in ((2, 4), (3, 3)):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,7 @@ class WordTokeniser:
         self._by_word = all(spec.get(k) == v for k, v in _KNOWN.items()) and spec["model"]["type"] == "BPE" and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in spec["added_tokens"])
         self._model = self._whole.model
         self._specials = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        self._marks = os.path.commonprefix(self._specials)  # what every special token begins with, to look for first
         self._pieces = regex.compile(_SPLIT).findall
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]
@@ -66,20 +69,21 @@ class WordTokeniser:
     def _of_word(self, word: str) -> tuple[int, ...]:
         ids = self._word.get(word)
         if ids is None:
-            spelt = word if word.isascii() else "".join(map(self._byte.__getitem__, word.encode()))
-            if word.isascii() and not word.isprintable():
-                spelt = "".join(map(self._byte.__getitem__, word.encode()))
-            ids = tuple(t.id for t in self._model.tokenize(spelt))
+            plain = word.isascii() and word.isprintable()
+            ids = tuple([t.id for t in self._model.tokenize(word if plain else "".join(map(self._byte.__getitem__, word.encode())))])
             if len(self._word) >= self._remembered:
                 self._word.clear()
             self._word[word] = ids
         return ids
 
     def _of_chunk(self, chunk: str) -> tuple[int, ...]:
-        if any(s in chunk for s in self._specials):
+        if self._marks in chunk and any(s in chunk for s in self._specials):
             return tuple(self._whole.encode(chunk, add_special_tokens=False).ids)
         if chunk.isascii():
             low = chunk.lower()
+            ids = self._word.get(low)  # a word that was split off before is its own only piece
+            if ids is not None:
+                return ids
             if low.isalpha():
                 return self._of_word(low)
             if low[-1] in ".,!?;:" and low[:-1].isalpha():
@@ -87,8 +91,10 @@ class WordTokeniser:
         else:
             chunk = unicodedata.normalize("NFC", chunk)
             low = "".join([c.lower() for c in chunk]) if "Σ" in chunk else chunk.lower()
-        found = [self._of_word(w) for w in self._pieces(low)]
-        return tuple(i for ids in found for i in ids)
+        found = self._pieces(low)
+        if len(found) == 1:
+            return self._of_word(found[0])
+        return tuple([i for w in found for i in self._of_word(w)])
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, the number of each text's ids)."""
@@ -109,7 +115,7 @@ class WordTokeniser:
                 known[c] = ids
             out.append(ids)
         size = np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter((i for ids in out for i in ids), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(out), np.uint32, int(size.sum()))
         code = np.asarray(coded.indices)
         if not len(code):
             return np.empty(0, np.uint32), np.zeros(len(per_text), np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
-from pageloom.operators import knn, orders, partial, policies, reports, workload
+from pageloom.operators import knn, orders, partial, policies, profiles, reports, workload
 from pageloom.plans import workload as W
 from pageloom.plans.sql import BASE, QUERIES_CTE
 from pageloom.sources.tables import base_vectors, query_stream, table
@@ -134,29 +134,22 @@ def switch_on_pool(spark, root):
     return policies.greedy(_pool_families(spark, root), threshold=0.05, sticky=True).withColumns({c: V.round6(F.col(c)) for c in ("query_cost", "movement_cost")})
 
 
-def _profiles(spark, root):
-    base, reps, queries, members = W._layouts(spark, root)
-    every = query_stream(spark, root).crossJoin(F.broadcast(reps.select("layout_id")))  # a row a window
-    return base, queries, partial.midpoint_costs(every, reps, partial.block_metas(members), W._total_blocks(base))
-
-
 def layout_pool(spark, root):
-    *_, profiles = _profiles(spark, root)
-    found = partial.candidate_pool(profiles, epsilon=0.05)
-    return found.select("layout_id", "accepted", V.round6(F.col("nearest")).alias("nearest"))
+    *_, found = W.cost_profiles(spark, root)
+    pool = profiles.candidate_pool(found, epsilon=0.05)
+    return pool.select("layout_id", "accepted", V.round6(F.col("nearest")).alias("nearest"))
 
 
 def redundant_states(spark, root):
-    *_, profiles = _profiles(spark, root)
-    found = partial.redundant_pairs(profiles, epsilon=0.5)
-    return found.select("layout_id", "other_id", V.round6(F.col("distance")).alias("distance"))
+    *_, found = W.cost_profiles(spark, root)
+    return profiles.redundant_pairs(found, epsilon=0.5).select("layout_id", "other_id", V.round6(F.col("distance")).alias("distance"))
 
 
 def _pool_families(spark, root):
-    base, queries, profiles = _profiles(spark, root)
-    pool = partial.candidate_pool(profiles, epsilon=0.05)
+    base, queries, found = W.cost_profiles(spark, root)
+    pool = profiles.candidate_pool(found, epsilon=0.05)
     windows = queries.select("query_id", F.col("layout_id").alias("window_id"))
-    return partial.pooled_families(profiles, windows, pool, covered=partial.covered(base.count(), W.CAPACITY, W.BETA))
+    return profiles.pooled_families(found, windows, pool, covered=partial.covered(base.count(), W.CAPACITY, W.BETA))
 
 
 def pooled_families(spark, root):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions import vectors as V
-from pageloom.operators import knn, orders, pages, partial, policies, stats, workload
+from pageloom.operators import knn, orders, pages, partial, policies, profiles, stats, workload
 from pageloom.operators.ranking import ranked
 from pageloom.plans.sql import BASE, CENTRES, NEAREST, QUERIES_CTE
 from pageloom.sources.tables import base_vectors, query_stream, table
@@ -50,36 +50,38 @@ def sliding_window_last_w(spark, root):
     return workload.last_rows(table(spark, root, "events").select("user_id", "event_id", "event_type"), "event_id", 5, "user_id")
 
 
-def _layouts(spark, root):
-    base = base_vectors(spark, root)
+def _windows(spark, root):
+    """The base, the representative of each window as that of its layout, and the queries with their layouts."""
     reps = workload.representatives(query_stream(spark, root), WINDOW).select(F.col("window_id").alias("layout_id"), F.col("q").alias("rep"))
     queries = workload.with_window(query_stream(spark, root), WINDOW).withColumnRenamed("window_id", "layout_id")
-    return base, reps, queries, partial.partial_layouts(base, reps, CAPACITY, BETA)
+    return base_vectors(spark, root), reps, queries
 
 
-def partial_layout_blocks(spark, root):
-    *_, members = _layouts(spark, root)
-    return partial.block_metas(members).select("layout_id", "block_id", V.round6(F.col("dmin")).alias("dmin"), V.round6(F.col("dmax")).alias("dmax"), "size")
+def _layouts(spark, root):
+    """The windows with a row for each layout and vector in it."""
+    base, reps, queries = _windows(spark, root)
+    return base, reps, queries, partial.partial_layouts(base, reps, CAPACITY, BETA)
 
 
-def _total_blocks(base):
-    return -(-base.count() // CAPACITY)
+def partial_layout_blocks(spark, root):
+    base, reps, _ = _windows(spark, root)
+    metas = profiles.block_metas(base, reps, CAPACITY, BETA)
+    return metas.select("layout_id", "block_id", V.round6(F.col("dmin")).alias("dmin"), V.round6(F.col("dmax")).alias("dmax"), "size")
 
 
 def partial_layout_cost(spark, root):
-    base, reps, queries, members = _layouts(spark, root)
-    found = partial.midpoint_costs(queries, reps, partial.block_metas(members), _total_blocks(base))
+    found = profiles.own_costs(*_windows(spark, root), CAPACITY, BETA)
     return found.select("query_id", V.round6(F.col("cost")).alias("cost"))
 
 
 def partial_smooth_cost(spark, root):
-    base, reps, queries, members = _layouts(spark, root)
-    return partial.smooth_costs(queries, members, reps, _total_blocks(base), K).select("query_id", "layout_id", V.round6(F.col("cost")).alias("cost"))
+    found = profiles.smooth_costs(*_windows(spark, root), CAPACITY, BETA, K)
+    return found.select("query_id", "layout_id", V.round6(F.col("cost")).alias("cost"))
 
 
 def _search(spark, root):
-    base, reps, queries, members = _layouts(spark, root)
-    return base, queries, partial.search(members, reps, queries, K, A)
+    base, reps, queries = _windows(spark, root)
+    return base, queries, profiles.search(base, reps, queries, CAPACITY, BETA, K, A)
 
 
 def partial_search(spark, root):
@@ -175,13 +177,16 @@ def phased_trace(spark, root):
     return policies.phased(_state_costs(spark, root), alpha=2000.0, seed=5)
 
 
+def cost_profiles(spark, root):
+    """The base, the queries with their layouts, and the costs of all queries in every layout."""
+    base, reps, queries = _windows(spark, root)
+    return base, queries, profiles.profiles(base, reps, queries, CAPACITY, BETA)
+
+
 def cost_profile_distance(spark, root):
     """(layout_id, distance): how far each layout's costs for all queries lie from those of the layout after it."""
-    base, reps, queries, members = _layouts(spark, root)
-    every = query_stream(spark, root).crossJoin(F.broadcast(reps.select("layout_id")))  # a row a window
-    costs = partial.midpoint_costs(every, reps, partial.block_metas(members), _total_blocks(base))
-    after = costs.select("query_id", (F.col("layout_id") - 1).alias("layout_id"), F.col("cost").alias("other"))
-    return costs.join(after, ["query_id", "layout_id"]).groupBy("layout_id").agg(V.round6(F.avg(F.abs(F.col("cost") - F.col("other")))).alias("distance"))
+    *_, found = cost_profiles(spark, root)
+    return profiles.successive_distances(found).select("layout_id", V.round6(F.col("d")).alias("distance"))
 
 
 def knn_single_topk(spark, root):

@@ -43,9 +43,10 @@ def exact_self_gravity(base: DataFrame, k: int = 3, t: float = 0.3) -> DataFrame
     near = blocks.nearest(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), rows, k + 1, "l2")
     order = Window.partitionBy("query_id").orderBy((F.col("query_id") != F.col("vec_id")).cast("int"), F.round("value", 9), "vec_id")
     near = near.withColumn("r", F.row_number().over(order)).where(F.col("r").between(2, k + 1))
-    first = near.where("r = 2").select("query_id", F.col("value").alias("d1"))
-    dc = first.agg(F.coalesce(F.avg("d1"), F.lit(0.0)).alias("dc"))  # one row
-    pulls = near.join(first, "query_id").join(rows.select("vec_id", F.col("v").alias("a")), "vec_id").crossJoin(F.broadcast(dc))
+    near = stored(near, "neighbours")  # k rows a vector; read for the mean and for the pulls
+    dc = near.where("r = 2").agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("dc"))  # one row
+    first = F.min(F.struct("r", "value")).over(Window.partitionBy("query_id")).getField("value")
+    pulls = near.withColumn("d1", first).join(rows.select("vec_id", F.col("v").alias("a")), "vec_id").crossJoin(F.broadcast(dc))
     weight = F.col("dc") * F.col("d1") / F.greatest(F.col("value") * F.col("value"), F.lit(1e-8))
     per = pulls.groupBy("query_id").agg(F.collect_list(F.struct("r", weight.alias("w"), "a")).alias("near"))  # k rows a vector
     joined = rows.join(per.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("near", F.array_sort(F.coalesce("near", F.array().cast("array<struct<r:int,w:double,a:array<double>>>"))))

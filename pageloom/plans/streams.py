@@ -26,7 +26,7 @@ def stream_reservoirs(spark, root):
 
 
 def stream_sessions(spark, root):
-    rows = S.drained(S.sessions(_stream(spark, root), "6 hours"), f"s{uuid.uuid4().hex}", "complete")
+    rows = S.drained_table(S.sessions(_stream(spark, root), "6 hours"), "sessions")
     return rows.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "n")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.operators.policies import CounterState
+from pageloom.sources.scratch import path_for
 
 
 def event_stream(spark: SparkSession, folder: str, schema, glob: str = "events.parquet", files: int = 1) -> DataFrame:
@@ -133,3 +134,20 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def drained_table(stream: DataFrame, tag: str) -> DataFrame:
+    """Runs a stream in complete mode over what is there and returns the result as a table in the shared folder.
+
+    Each batch replaces the table; its rows, like the stream's state, go from the executors to that folder and not to the driver.
+    """
+    spark = stream.sparkSession
+    path = path_for(spark, tag)
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # what a stream without a row leaves
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", path_for(spark, f"{tag}-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
